@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import bpe, chat, sharding
+from tidebook.llm import bpe, chat, line_dedup, quality, sharding
 from tidebook.sources.tables import table
 
 #: Production parameters of op6: 16 shards and a prime of about 100 slots a shard.
@@ -26,6 +26,16 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, vocabulary(), keep=["doc_id"], ids=False, digests=True)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_dedup.dedup(docs, keep=["doc_id"], min_chars=20, min_docs=3, texts=False, digests=True)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.verdicts(docs, keep=["doc_id"]).drop("__host", "__tid")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")
     return sharding.place(docs, "doc_id", SHARDS, SLOTS)
@@ -47,6 +57,20 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_OP4_SQL = r"""
+with lines as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),
+keyed as (
+  select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines),
+repeats as (
+  select key, max(doc_id) as keeper from keyed where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
+marked as (
+  select k.*, r.keeper is not null and r.keeper <> k.doc_id as gone from keyed k left join repeats r using (key))
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+  sha256(coalesce(string_agg(case when not gone then line end, chr(10) order by pos), '')) as kept_sha256
+from marked group by doc_id"""
+
+
 def _op6_sql() -> str:
     """The table is filled by a recursive query: one turn a step."""
     names = ", ".join(f"({i}, '{s}')" for i, s in enumerate(SHARDS))
@@ -90,10 +114,12 @@ from sized group by conv_id"""
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op4_line_dedup": op4_line_dedup,
+        "op5_quality": op5_quality,
         "op6_sharding": op6_sharding,
         "op9_chat": op9_chat,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_sharding": _op6_sql(), "op9_chat": _OP9_SQL}
+    return {"op4_line_dedup": _OP4_SQL, "op6_sharding": _op6_sql(), "op9_chat": _OP9_SQL}
