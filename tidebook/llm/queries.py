@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import bpe, chat, line_dedup, quality, sharding
+from tidebook.llm import bpe, chat, line_dedup, minmax, quality, sharding
 from tidebook.sources.tables import table
 
 #: Production parameters of op6: 16 shards and a prime of about 100 slots a shard.
@@ -41,6 +41,17 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, "doc_id", SHARDS, SLOTS)
 
 
+def op8_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minmax.groups(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("doc").alias("doc_id"),
+        "n_shingles",
+        F.col("component").alias("component_id"),
+        F.col("doc").eqNullSafe(F.col("component")).alias("kept"),
+        "n_copies",
+    )
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = "select * from values (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') t(conv_id, turn, role, text)"
@@ -117,6 +128,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": op4_line_dedup,
         "op5_quality": op5_quality,
         "op6_sharding": op6_sharding,
+        "op8_minmax": op8_minmax,
         "op9_chat": op9_chat,
     }
 
