@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import bpe, chat, decontam, line_dedup, minmax, quality, sharding
+from tidebook.llm import bpe, chat, decontam, line_dedup, lm, minmax, quality, sharding
 from tidebook.sources.tables import table
 
 #: Production parameters of op6: 16 shards and a prime of about 100 slots a shard.
@@ -30,6 +30,11 @@ def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score_held_out(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_dedup.dedup(docs, keep=["doc_id"], min_chars=20, min_docs=3, texts=False, digests=True)
@@ -130,6 +135,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_decontam": op2_decontam,
+        "op3_lm": op3_lm,
         "op4_line_dedup": op4_line_dedup,
         "op5_quality": op5_quality,
         "op6_sharding": op6_sharding,
