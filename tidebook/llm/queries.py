@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import bpe, chat, decontam, line_dedup, lm, minmax, quality, sharding
+from tidebook.llm import bpe, chat, decontam, langid, line_dedup, lm, minmax, quality, secrets, sharding
 from tidebook.sources.tables import table
 
 #: Production parameters of op6: 16 shards and a prime of about 100 slots a shard.
@@ -50,6 +50,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, "doc_id", SHARDS, SLOTS)
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = lm.held_out("doc_id", 4, 2)
+    return langid.identify(docs, ~held).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op8_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minmax.groups(table(spark, sf_dir, "documents"))
     return found.select(
@@ -91,6 +97,15 @@ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
 from marked group by doc_id"""
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    base = F.filter("found", lambda x: x["kind"] != "format")
+    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in secrets.KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
 def _op6_sql() -> str:
     """The table is filled by a recursive query: one turn a step."""
     names = ", ".join(f"({i}, '{s}')" for i, s in enumerate(SHARDS))
@@ -139,8 +154,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": op4_line_dedup,
         "op5_quality": op5_quality,
         "op6_sharding": op6_sharding,
+        "op7_langid": op7_langid,
         "op8_minmax": op8_minmax,
         "op9_chat": op9_chat,
+        "op10_secrets": op10_secrets,
     }
 
 
