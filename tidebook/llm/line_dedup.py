@@ -153,12 +153,12 @@ def drop_lines(text: str | None, min_chars: int, goes) -> tuple[str, int, int]:
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, keep: list[str] | None = None, texts: bool = True, digests: bool = False, most_lines: int = MOST_LINES) -> DataFrame:
-    """``keep`` columns of each row with ``n_lines``, ``n_dropped`` and, as asked, ``kept_text`` and ``kept_sha256``."""
+    """``keep`` columns of each row with ``n_lines``, ``n_dropped`` and, as asked, ``kept_text`` with ``kept_words``, and ``kept_sha256``."""
     keep = keep if keep is not None else [c for c in docs.columns if c != text]
     found = written(suspects(docs, doc_id, text, min_chars), "suspects")
     lines, n = measured(repeated(found, min_docs), "repeated")
     fields = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
-    fields += [T.StructField("kept_text", T.StringType())] * texts + [T.StructField("kept_sha256", T.StringType())] * digests
+    fields += [T.StructField("kept_text", T.StringType()), T.StructField("kept_words", T.LongType())] * texts + [T.StructField("kept_sha256", T.StringType())] * digests
 
     def columns(rows) -> dict:
         out: dict[str, list] = {f.name: [] for f in fields}
@@ -167,6 +167,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars
             out["n_dropped"].append(dropped)
             if texts:
                 out["kept_text"].append(rest)
+                out["kept_words"].append(len(rest.encode().split()))  # bytes: cut at the same white space
             if digests:
                 out["kept_sha256"].append(hashlib.sha256(rest.encode()).hexdigest())
         return out
@@ -198,3 +199,20 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars
         return work
 
     return map_rows(each, text, [*keep, "__gone"], make_by_list, fields).drop("__gone")
+
+
+def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", min_chars: int = 20, min_docs: int = 3, min_words: int = 0) -> DataFrame:
+    """The rows of ``docs`` with the lines dropped from ``text``; a column ``n_chars``, if there is one, counts what is left.
+
+    Rows that lost lines and have fewer than ``min_words`` words left go: their content stands in other rows. All columns keep their names and order, whatever the names are.
+    """
+    names = docs.columns
+    plain = docs.toDF(*(f"__{i}" for i in range(len(names))))
+    own, body = f"__{names.index(doc_id)}", f"__{names.index(text)}"
+    out = dedup(plain, own, body, min_chars, min_docs, keep=[c for c in plain.columns if c != body])
+    back = [F.col("kept_text") if c == body else F.col(c) for c in plain.columns]
+    if n_chars in names:
+        k = names.index(n_chars)
+        back[k] = F.when(F.col("n_dropped") > 0, F.length("kept_text")).otherwise(F.col(f"__{k}")).cast(docs.schema[k].dataType)
+    out = out.where((F.col("n_dropped") == 0) | (F.col("kept_words") >= min_words))
+    return out.select(*(c.alias(n) for c, n in zip(back, names, strict=True)))
