@@ -30,3 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
+
+
+# the modules register their queries when they are loaded
+from tidebook.plans import labels  # noqa: E402, F401
