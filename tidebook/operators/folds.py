@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tidebook.operators.ordered import previous, running_sum
 from tidebook.session import ship_package
 
 
@@ -65,9 +66,9 @@ def l2_batches(updates: DataFrame, by: list[str]) -> DataFrame:
     """
     level = F.struct("source_row", "side", "price_tick", "amount", "is_snapshot")
     got = updates.groupBy(*by, "local_ts_us").agg(F.sort_array(F.collect_list(level)).alias("updates"), F.max("is_snapshot").alias("snapshot"))
-    w = Window.partitionBy(*by).orderBy("local_ts_us")
-    starts = F.col("snapshot") & ~F.coalesce(F.lag("snapshot").over(w), F.lit(False))
-    return got.withColumn("epoch", F.sum(starts.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    got = previous(got, by, "local_ts_us", [], ["snapshot"])
+    starts = F.col("snapshot") & ~F.coalesce("prev_snapshot", F.lit(False))
+    return running_sum(got, by, "local_ts_us", [], starts.cast("long"), "epoch").drop("prev_snapshot")
 
 
 @dataclass
