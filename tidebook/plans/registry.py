@@ -33,4 +33,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 # the modules register their queries when they are loaded
-from tidebook.plans import features, flows, labels, metrics, scalars  # noqa: E402, F401
+from tidebook.plans import features, flows, labels, metrics, models, scalars, sources  # noqa: E402, F401
