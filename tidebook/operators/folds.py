@@ -293,3 +293,58 @@ class Lots:
 def fifo_lots(fills: DataFrame, by: list[str], order: list[str], fee_bps: float = 0.0) -> DataFrame:
     out = T.StructType([T.StructField("event_id", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in ("realised", "closed_qty", "position")), T.StructField("open_lots", T.IntegerType())])
     return fold(fills, by, order, lambda: Lots(fee_bps), out)
+
+
+# labels as they mature
+
+
+@dataclass
+class Maturing:
+    """Forward returns of decisions, each given out when all its horizons have passed.
+
+    A price in force at a time is known once a later quote comes, so a label matures when time has passed its horizon, or at
+    the end when the last quote stands at it. Decisions that never mature are not given out.
+    """
+
+    delay_us: int
+    horizons: dict
+    waiting: list = field(default_factory=list)  # a heap of (time, number, decision, what)
+    open: dict = field(default_factory=dict)
+    last: tuple | None = None
+    n: int = 0
+
+    def _settle(self, until: int, closed: bool):
+        import heapq
+
+        while self.waiting and (self.waiting[0][0] < until or closed and self.waiting[0][0] <= until):
+            _, _, event, what = heapq.heappop(self.waiting)
+            d = self.open[event]
+            d[what] = self.last[1]
+            if all(h in d for h in ("entry", *self.horizons)):
+                del self.open[event]
+                yield {"event_id": event, "local_ts_us": d["at"], **{f"ret_{h}_bps": 1e4 * math.log(d[h] / d["entry"]) for h in self.horizons}}
+
+    def step(self, row: dict):
+        import heapq
+
+        now = row["local_ts_us"]
+        if self.last is not None:
+            yield from self._settle(now, False)
+        self.last = (now, row["mid"])
+        if row["decides"]:
+            event = row["event_id"]
+            self.open[event] = {"at": now}
+            entry = now + self.delay_us
+            for what, at in (("entry", entry), *((h, entry + us) for h, us in self.horizons.items())):
+                self.n += 1
+                heapq.heappush(self.waiting, (at, self.n, event, what))
+
+    def finish(self):
+        if self.last is not None:
+            yield from self._settle(self.last[0], True)
+
+
+def matured_labels(quotes: DataFrame, by: list[str], delay_us: int, horizons: dict[str, int]) -> DataFrame:
+    """``quotes`` has event_id, local_ts_us, mid and whether a decision falls on it."""
+    out = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("local_ts_us", T.LongType()), *(T.StructField(f"ret_{h}_bps", T.DoubleType()) for h in horizons)])
+    return fold(quotes, by, ["local_ts_us", "event_id"], lambda: Maturing(delay_us, horizons), out)
