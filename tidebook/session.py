@@ -15,6 +15,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
+#: Bytes of an Arrow batch between the JVM and Python, where the session doesn't set them: rows may be long texts.
+ARROW_BYTES = "8000000"
+_ARROW_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _SHIPPED: dict[str, str] = {}
 
 
@@ -69,8 +72,10 @@ def drop_written(df: DataFrame) -> None:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in the executors' Python workers, whatever their path is."""
+    """Make this package importable in the executors' Python workers, whatever their path is, and bound their batches."""
     context = spark.sparkContext
+    if spark.conf.get(_ARROW_SETTING, None) is None:
+        spark.conf.set(_ARROW_SETTING, ARROW_BYTES)
     if _SHIPPED.get("app") == context.applicationId:
         return
     folder = os.path.realpath(tempfile.mkdtemp(prefix="tidebook-"))
