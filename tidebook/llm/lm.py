@@ -36,9 +36,9 @@ from tidebook.session import ship_package, written
 #: Text bytes for which there is one segment.
 SEGMENT_BYTES = 8_000_000
 #: Tokens that a training task gathers before it hands them on.
-FLUSH_TOKENS = 3_000_000
+FLUSH_TOKENS = 1_000_000
 #: Base of the logarithmic scale, bits of the filter for each entry, and its hash functions.
-SCALE, ENTRY_BITS, HASHES = 1.5, 8, 4
+SCALE, ENTRY_BITS, HASHES = 1.5, 6, 4
 #: Weight of the word distribution against that of pairs.
 MU = 100.0
 #: Bytes of a group of segments, the most that is broadcast at once.
