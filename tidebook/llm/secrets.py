@@ -40,6 +40,8 @@ _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 SAMPLE_DOCS, MOST_LABELLED, MOST_WORDS = 20_000, 400, 4000
 #: Ordinary runs that a sampled document gives at most.
 DOC_WORDS = 20
+#: Observations that the back-off of the model of ordinary runs stands for.
+BACK_OFF = 200.0
 #: Shortest candidate; confidence of the merging test; log-likelihood ratio that a candidate needs, in all and a character.
 MIN_RUN, ALPHA, MIN_RATIO, MIN_RATIO_CHAR = 16, 0.05, 12.0, 0.35
 
@@ -162,16 +164,20 @@ class Words:
 
     def __init__(self, words: list[str]):
         pairs = Counter((a, b) for w in words for a, b in zip(["", *(_CLASS[c] for c in w)], [*(_CLASS[c] for c in w), ""], strict=True))
-        first = Counter()
-        for (a, _), n in pairs.items():
+        first, then = Counter(), Counter()
+        for (a, b), n in pairs.items():
             first[a] += n
+            then[b] += n
         k = len(CLASSES) + 1
-        self.pair = {(a, b): math.log((pairs[(a, b)] + 0.5) / (first[a] + 0.5 * k)) for a in ["", *range(k - 1)] for b in ["", *range(k - 1)]}
+        total = sum(then.values())
+        alone = {b: (then[b] + 0.5) / (total + 0.5 * k) for b in ["", *range(k - 1)]}
+        # what is seldom seen at all must not count as usual after itself: few observations give way to the classes alone
+        self.pair = {(a, b): math.log((pairs[(a, b)] + BACK_OFF * alone[b]) / (first[a] + BACK_OFF)) for a in alone for b in alone}
         signs = Counter(c for w in words for c in w)
         of_class = Counter()
         for c, n in signs.items():
             of_class[_CLASS[c]] += n
-        self.sign = {c: math.log((signs[c] + 0.5) / (of_class[x] + 0.5 * len(CLASSES[x]))) for c, x in _CLASS.items()}
+        self.sign = {c: math.log((signs[c] + BACK_OFF / len(CLASSES[x])) / (of_class[x] + BACK_OFF)) for c, x in _CLASS.items()}
 
     def likelihood(self, run: str) -> float:
         total, before = 0.0, ""
