@@ -41,7 +41,7 @@ SAMPLE_DOCS, MOST_LABELLED, MOST_WORDS = 20_000, 400, 4000
 #: Ordinary runs that a sampled document gives at most.
 DOC_WORDS = 20
 #: Observations that the back-off of the model of ordinary runs stands for.
-BACK_OFF = 200.0
+BACK_OFF = 50.0
 #: Shortest candidate; confidence of the merging test; log-likelihood ratio that a candidate needs, in all and a character.
 MIN_RUN, ALPHA, MIN_RATIO, MIN_RATIO_CHAR = 16, 0.05, 12.0, 0.35
 
