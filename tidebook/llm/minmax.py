@@ -41,7 +41,7 @@ SHINGLE, PERCENT = 5, 75
 #: Bands and the signature values in each; two values a permutation.
 BANDS, BAND_VALUES = 56, 6
 #: Most classes, and shingles, of a block of a unit.
-BLOCK_DOCS, BLOCK_SHINGLES = 1024, 2_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 256, 500_000
 
 _RANDOM = np.random.default_rng(8)
 _PERMUTATIONS = BANDS * BAND_VALUES // 2
