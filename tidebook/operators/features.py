@@ -99,21 +99,33 @@ def _slope(frame, value: str, relative: bool) -> Column:
 
 
 def realized_vol(values: Column) -> Column:
-    """Population deviation of successive returns, in basis points, of an array of prices; 0 with fewer than two returns."""
-    n = F.size(values)
-    returns = F.zip_with(F.slice(values, 1, F.greatest(n - 1, F.lit(0))), F.slice(values, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: (b / a - 1) * 1e4)
-    count = F.size(returns)
-    mean = F.aggregate(returns, F.lit(0.0), lambda s, v: s + v) / count
-    square = F.aggregate(returns, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / count
-    return F.when(count >= 1, F.sqrt(square)).otherwise(F.lit(0.0))
+    """Population deviation of successive returns, in basis points, of an array of prices; 0 with fewer than two prices.
+
+    One pass with running mean and squares, as expressions within array functions are evaluated anew for each element.
+    """
+    zero = F.lit(0.0)
+    start = F.struct(F.lit(None).cast("double").alias("prev"), zero.alias("n"), zero.alias("mean"), zero.alias("m2"))
+
+    def step(s: Column, v: Column) -> Column:
+        r = (v / s["prev"] - 1) * 1e4
+        n = s["n"] + 1
+        mean = s["mean"] + (r - s["mean"]) / n
+        first = s["prev"].isNull()
+        return F.struct(v.alias("prev"), F.when(first, s["n"]).otherwise(n).alias("n"), F.when(first, s["mean"]).otherwise(mean).alias("mean"), F.when(first, s["m2"]).otherwise(s["m2"] + (r - s["mean"]) * (r - mean)).alias("m2"))
+
+    return F.aggregate(values, start, step, lambda s: F.when(s["n"] > 0, F.sqrt(F.greatest(s["m2"], F.lit(0.0)) / s["n"])).otherwise(F.lit(0.0)))
 
 
 def sign_flips(values: Column) -> Column:
     """How often neighbours differ in sign, zeros left out."""
-    signs = F.filter(F.transform(values, lambda v: F.signum(v)), lambda v: v != 0)
-    n = F.size(signs)
-    pairs = F.zip_with(F.slice(signs, 1, F.greatest(n - 1, F.lit(0))), F.slice(signs, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: a != b)
-    return F.size(F.filter(pairs, lambda x: x))
+    start = F.struct(F.lit(0.0).alias("prev"), F.lit(0).alias("flips"))
+
+    def step(s: Column, v: Column) -> Column:
+        sign = F.signum(v)
+        flipped = (sign != 0) & (s["prev"] != 0) & (sign != s["prev"])
+        return F.struct(F.when(sign != 0, sign).otherwise(s["prev"]).alias("prev"), (s["flips"] + flipped.cast("int")).alias("flips"))
+
+    return F.aggregate(values, start, step, lambda s: s["flips"])
 
 
 def book_features(quotes: DataFrame, scale: int = 1, slice_us: int = o.SLICE_US) -> DataFrame:
@@ -189,9 +201,12 @@ def longest_run(trades: Column) -> Column:
 
 def widest_gap(times: Column) -> Column:
     """The largest difference between neighbours of an array of ascending times; 0 with fewer than two."""
-    n = F.size(times)
-    gaps = F.zip_with(F.slice(times, 1, F.greatest(n - 1, F.lit(0))), F.slice(times, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: b - a)
-    return F.coalesce(F.array_max(gaps), F.lit(0))
+    start = F.struct(F.lit(None).cast("bigint").alias("prev"), F.lit(0).cast("bigint").alias("gap"))
+
+    def step(s: Column, t: Column) -> Column:
+        return F.struct(t.alias("prev"), F.greatest(s["gap"], F.coalesce(t - s["prev"], F.lit(0).cast("bigint"))).alias("gap"))
+
+    return F.aggregate(times, start, step, lambda s: s["gap"])
 
 
 def sign_entropy(buys: Column, sells: Column, other: Column) -> Column:

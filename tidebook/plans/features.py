@@ -10,9 +10,9 @@ from tidebook.plans.common import r6, sql6
 from tidebook.plans.registry import query
 from tidebook.sources.market import EV_SQL, events
 
-#: 200 ms become 6 hours, 3 s become 90; slices are longer than the longest window.
-SCALE = 108_000
-SLICE = 5 * 86_400_000_000
+#: 200 ms become an hour, 3 s become fifteen; slices are longer than the longest window.
+SCALE = 18_000
+SLICE = 2 * 86_400_000_000
 LEVELS = 5
 
 
