@@ -70,13 +70,13 @@ def asof_join(probes: DataFrame, facts: DataFrame, by: list[str], probe_key: tup
 def at_or_after(probes: DataFrame, facts: DataFrame, by: list[str], probe_key: tuple[str, str], fact_key: tuple[str, str], value: str, name: str, slice_us: int = SLICE_US) -> DataFrame:
     """Each probe with the fact at its timestamp, if one has a sequence up to the probe's (the last such), else the first later one.
 
-    Among facts of a later timestamp the last is taken, as it stands when the timestamp has passed.
+    Facts of the probe's own timestamp that all come after it are passed over; of a later timestamp the first fact is taken.
     """
     (pt, ps), (ft, fs) = probe_key, fact_key
-    closing = facts.groupBy(*by, F.col(ft).alias("__ft")).agg(F.max_by(value, F.struct(fs, value)).alias("__close"))
-    kind = closing.schema["__close"].dataType
+    opening = facts.groupBy(*by, F.col(ft).alias("__ft")).agg(F.min_by(value, F.struct(fs, value)).alias("__open"))
+    kind = opening.schema["__open"].dataType
     left = probes.select(*by, F.col(pt).alias("__t"), F.lit(0).alias("__kind"), F.struct("*").alias("__row"), F.lit(None).cast(kind).alias("__v"))
-    right = closing.select(*by, F.col("__ft").alias("__t"), F.lit(1).alias("__kind"), F.lit(None).cast(left.schema["__row"].dataType).alias("__row"), F.col("__close").alias("__v"))
+    right = opening.select(*by, F.col("__ft").alias("__t"), F.lit(1).alias("__kind"), F.lit(None).cast(left.schema["__row"].dataType).alias("__row"), F.col("__open").alias("__v"))
     both = left.unionByName(right).withColumn("__slice", -slice_of("__t", slice_us))
     # in falling time, a probe comes after all later facts; those at its own timestamp are settled by sequence below
     so_far = Window.partitionBy(*by, "__slice").orderBy(F.desc("__t"), "__kind").rowsBetween(Window.unboundedPreceding, 0)

@@ -95,7 +95,7 @@ def asof_value_default(spark, sf_dir):
 
 
 @query("forward_at_or_after", f"""{EV_SQL},
-q as (select symbol_id, local_ts_us, arg_max((best_bid_tick + best_ask_tick) * 0.5::double, event_id) as mid from ev where is_trade = 0 group by all),
+q as (select symbol_id, local_ts_us, arg_min((best_bid_tick + best_ask_tick) * 0.5::double, event_id) as mid from ev where is_trade = 0 group by all),
 t as (select *, local_ts_us + {H6} as at from ev where is_trade = 1)
 select t.event_id, q.mid as future_mid
 from t asof left join q on q.symbol_id = t.symbol_id and q.local_ts_us >= t.at""")

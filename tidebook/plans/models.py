@@ -70,7 +70,7 @@ def raw_actions(spark, sf_dir):
     return q.select("event_id", x.raw_to_tick(raw, F.col("best_bid_tick") - 4, F.col("best_bid_tick")).cast("long").alias("tick"), r6(x.raw_to_qty(raw, 0.25, 1.0, 0.05), "qty"))
 
 
-@query("path_rewards", f"""{EV_SQL}, q as (select symbol_id, event_id, local_ts_us, (best_bid_tick + best_ask_tick) * 0.5::double as equity from ev where is_trade = 0), u as (select symbol_id, local_ts_us, arg_max(equity, event_id) as equity from q group by all),
+@query("path_rewards", f"""{EV_SQL}, q as (select symbol_id, event_id, local_ts_us, (best_bid_tick + best_ask_tick) * 0.5::double as equity from ev where is_trade = 0), u as (select symbol_id, local_ts_us, arg_min(equity, event_id) as equity from q group by all),
 a as (select *, local_ts_us + {H6} as t1, local_ts_us + {H24} as t2 from q where event_id % 3 = 0)
 select a.event_id, {sql6("x.equity - a.equity", "reward_6h")}, {sql6("y.equity - a.equity", "reward_24h")}
 from a asof left join u x on x.symbol_id = a.symbol_id and x.local_ts_us >= a.t1 asof left join u y on y.symbol_id = a.symbol_id and y.local_ts_us >= a.t2""")
