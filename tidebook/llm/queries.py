@@ -146,6 +146,40 @@ select conv_id, count(*) as n_turns,
 from sized group by conv_id"""
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"'[^\x20\x09-\x0D]+'"
+
+_OP5_SQL = rf"""
+with d as (select doc_id, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), {_WORD}) as ws from documents),
+win as (select doc_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) as w, unnest(range(1, len(ws) - 1)) as i from d where len(ws) > 2),
+twice as (select doc_id, i, count(*) over (partition by doc_id, w) as n from win),
+again as (select doc_id, count(distinct pos) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as pos from twice where n > 1) t group by doc_id),
+lines as (select doc_id, source, text, unnest(string_split(text, chr(10))) as line from d),
+dup as (select doc_id, count(*) - count(distinct line) as n_dup_lines from lines where regexp_matches(line, {_WORD}) group by doc_id),
+keys as (select distinct doc_id, source, text, regexp_extract_all({_LOWER.replace("coalesce(text, '')", "line")}, {_WORD}) as key, count(*) over (partition by doc_id, regexp_extract_all({_LOWER.replace("coalesce(text, '')", "line")}, {_WORD})) as times from lines),
+hosts as (select source, count(distinct text) as host_docs from d group by source),
+boiler as (select k.source, key from keys k join hosts h on h.source is not distinct from k.source where len(key) >= {quality.MIN_LINE_WORDS}
+  group by k.source, key, host_docs having count(distinct text) > {quality.LIMIT_DOCS} and count(distinct text) > {quality.LIMIT_SHARE} * host_docs),
+gone as (select doc_id, sum(len(k.key) * times)::bigint as n_removed_words from keys k join boiler b on b.key = k.key and b.source is not distinct from k.source group by doc_id),
+base as (select doc_id, len(ws) as n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::bigint as word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+  coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_removed_words, 0) as n_removed_words
+  from d left join dup using (doc_id) left join again using (doc_id) left join gone using (doc_id)),
+judged as (select *, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MOST_REPEATED_PERCENT} * n_words as base_failed from base)
+select *, not base_failed and n_words - n_removed_words >= {quality.MIN_REST} * n_words as kept from judged"""
+
+_OP8_SQL = rf"""
+with recursive w as (select doc_id, regexp_extract_all({_LOWER}, {_WORD}) as ws from documents),
+s as (select doc_id, list_distinct(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as sh from w),
+u as (select doc_id, len(sh) as n, unnest(sh) as x from s),
+p as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as c from u a join u b on a.x = b.x and a.doc_id < b.doc_id group by all),
+e as (select a, b from p where 100 * c >= {minmax.PERCENT} * (na + nb - c)),
+sy as (select a, b from e union all select b, a from e),
+r(node, component) as (select doc_id, doc_id from s union select sy.b, r.component from r join sy on sy.a = r.node),
+c as (select node, min(component) as component_id from r group by node),
+k as (select doc_id, len(sh) as n_shingles, case when len(sh) > 0 then count(*) over (partition by list_sort(sh)) else 1 end as n_copies from s)
+select doc_id, n_shingles, component_id, doc_id = component_id as kept, n_copies from k join c on c.node = k.doc_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -162,4 +196,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": _OP4_SQL, "op6_sharding": _op6_sql(), "op9_chat": _OP9_SQL}
+    return {"op4_line_dedup": _OP4_SQL, "op5_quality": _OP5_SQL, "op8_minmax": _OP8_SQL, "op6_sharding": _op6_sql(), "op9_chat": _OP9_SQL}
