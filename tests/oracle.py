@@ -24,7 +24,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def plain(x):
     if isinstance(x, float):
-        return "nan" if math.isnan(x) else repr(round(x, 6) + 0.0)
+        return "nan" if math.isnan(x) else repr(round(x, 10) + 0.0)
     if isinstance(x, decimal.Decimal):
         return repr(float(x))
     return repr(x)

@@ -42,13 +42,13 @@ _VPIN = oracle_sql()["vpin"]
 
 @query("adverse_feature_rows", f"""with v as ({_VPIN}), d as (select event_id, cast(user_id % 4 as bigint) as symbol_id, epoch_us(ts) as local_ts_us from events where event_type in ('click', 'view')),
 u as (select symbol_id, closed_at, arg_max(vpin, bucket) as vpin, max(bucket) as bucket from v group by all)
-select d.event_id, {sql6("coalesce(u.vpin, 0)", "vpin")}, coalesce(u.bucket + 1, 0) as n_buckets from d asof left join u on u.symbol_id = d.symbol_id and u.closed_at <= d.local_ts_us""")
+select d.event_id, {sql6("coalesce(u.vpin, 0)", "vpin", 10)}, coalesce(u.bucket + 1, 0) as n_buckets from d asof left join u on u.symbol_id = d.symbol_id and u.closed_at <= d.local_ts_us""")
 def adverse_feature_rows(spark, sf_dir):
     """Flow toxicity as it stands at each quote: operator 131."""
     b = flows.vpin(flows.volume_buckets(pf.cents(events(spark, sf_dir)), BY, "local_ts_us", ["event_id"], "qty", "side_code", pf.BUCKET), BY, pf.BUCKET, 20, 5)
     d = events(spark, sf_dir).where("is_trade = 0").select("event_id", "symbol_id", "local_ts_us").withColumn("seq", F.lit(2**62))
     got = o.asof_join(d, b.select("symbol_id", "closed_at", "bucket", "vpin"), BY, ("local_ts_us", "seq"), ("closed_at", "bucket"), ["vpin", "bucket"])
-    return got.select("event_id", r6(F.coalesce("vpin", F.lit(0.0)), "vpin"), F.coalesce(F.col("bucket") + 1, F.lit(0)).alias("n_buckets"))
+    return got.select("event_id", r6(F.coalesce("vpin", F.lit(0.0)), "vpin", 10), F.coalesce(F.col("bucket") + 1, F.lit(0)).alias("n_buckets"))
 
 
 @query("split_role_masks", f"{_THIRDS} select event_id, role, role = 'train' as in_train, event_type = 'purchase' and side_code > 0 as scope_up, side_code <> 0 as scope_move from z")

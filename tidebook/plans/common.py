@@ -11,12 +11,13 @@ H6, H12, H24 = 6 * HOUR, 12 * HOUR, 24 * HOUR
 WEEK = 7 * 24 * HOUR
 
 
-def r6(x: Column | str, name: str | None = None) -> Column:
-    """Six decimals, without a negative zero: the oracles' ``round(x, 6) + 0``."""
+def r6(x: Column | str, name: str | None = None, digits: int = 6) -> Column:
+    """Six decimals, without a negative zero: the oracles' ``round(x, 6) + 0``. Shares of whole numbers, which may lie just
+    between two roundings, take more."""
     x = F.col(x) if isinstance(x, str) else x
-    out = F.round(x.cast("double"), 6) + F.lit(0.0)
+    out = F.round(x.cast("double"), digits) + F.lit(0.0)
     return out.alias(name) if name else out
 
 
-def sql6(expression: str, name: str) -> str:
-    return f"round(cast({expression} as double), 6) + 0 as {name}"
+def sql6(expression: str, name: str, digits: int = 6) -> str:
+    return f"round(cast({expression} as double), {digits}) + 0 as {name}"

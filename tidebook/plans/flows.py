@@ -30,13 +30,13 @@ b as (select symbol_id, bucket, sum(case when side_code > 0 then least(hi, (buck
 f as (select * from b where buy + sell = {BUCKET})"""
 
 
-@query("vpin", f"""{_BUCKETS} select symbol_id, bucket, buy, sell, closed_at, {sql6(f"case when count(*) over w >= 5 then sum(abs(buy - sell)) over w / (count(*) over w * {BUCKET}.0) else 0 end", "vpin")}
+@query("vpin", f"""{_BUCKETS} select symbol_id, bucket, buy, sell, closed_at, {sql6(f"case when count(*) over w >= 5 then sum(abs(buy - sell)) over w / (count(*) over w * {BUCKET}.0) else 0 end", "vpin", 10)}
 from f window w as (partition by symbol_id order by bucket rows between 19 preceding and current row)""")
 def vpin(spark, sf_dir):
     """Operator 129."""
     b = flows.volume_buckets(cents(events(spark, sf_dir)), BY, "local_ts_us", ["event_id"], "qty", "side_code", BUCKET)
     got = flows.vpin(b, BY, BUCKET, 20, 5)
-    return got.select("symbol_id", "bucket", "buy", "sell", "closed_at", r6("vpin", "vpin"))
+    return got.select("symbol_id", "bucket", "buy", "sell", "closed_at", r6("vpin", "vpin", 10))
 
 
 _SAMPLES = f"""{EV_SQL}, q as (select *, (best_bid_tick + best_ask_tick) * 0.5::double as mid from ev where is_trade = 0), s as (select symbol_id, min(local_ts_us) as t0, max(local_ts_us) as t1 from q group by 1),
