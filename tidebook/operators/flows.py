@@ -55,11 +55,12 @@ def kyle_lambda(samples: DataFrame, by: list[str], window_us: int, least: int =
     w = Window.partitionBy(*by).orderBy("t").rangeBetween(-window_us, 0)
     n, flat = F.count("*").over(w), F.var_pop("flow").over(w) <= k.EPS
     slope = F.regr_slope("response", "flow").over(w)
-    r2 = F.corr("response", "flow").over(w)
     ok = (n >= least) & ~flat
     none = F.lit(0.0)
-    varied = F.var_pop("response").over(w) > k.EPS
-    return samples.withColumn("slope", F.when(ok, slope).otherwise(none)).withColumn("r2", F.when(ok & varied, r2 * r2).otherwise(none))
+    spread = F.var_pop("response").over(w)
+    # not by a correlation over the frame, which fails where either side is constant
+    r2 = F.try_divide(slope * slope * F.var_pop("flow").over(w), spread)
+    return samples.withColumn("slope", F.when(ok, slope).otherwise(none)).withColumn("r2", F.when(ok & (spread > k.EPS), r2).otherwise(none))
 
 
 def flow_windows(over, us: int, tag: str) -> dict[str, Column]:
