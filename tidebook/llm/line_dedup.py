@@ -119,8 +119,9 @@ def suspects(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFra
     out = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("doc", T.LongType())])
 
     def make():
-        known = {s: np.unpackbits(np.frombuffer(zlib.decompress(b), np.uint8)).astype(bool) for s, b in shared.value.items()}
-        nothing = np.zeros(SEGMENT_BITS, bool)
+        known = np.zeros((SEGMENTS, SEGMENT_BITS // 8), np.uint8)  # packed, as large as the filter
+        for s, b in shared.value.items():
+            known[s] = np.frombuffer(zlib.decompress(b), np.uint8)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             keys, ids = [], []
@@ -131,8 +132,8 @@ def suspects(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFra
             if not keys:
                 return None
             segment, bits = _places(_pairs(keys))
-            ok = [known.get(s, nothing)[b].all() for s, b in zip(segment.tolist(), bits, strict=True)]
-            mask = pa.array(ok, pa.bool_())
+            held = known[segment[:, None], bits >> 3] >> (7 - (bits & 7)).astype(np.uint8)
+            mask = pa.array((held & 1).all(1), pa.bool_())
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).filter(mask), pa.array(ids, pa.int64()).filter(mask)], names=["key", "doc"])
 
         return work
