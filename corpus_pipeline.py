@@ -22,9 +22,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 20 code points or more that stand in three documents or more stay in one of them.
 
-    Documents that this leaves below the least words of the quality rules, such as all copies but one, go.
+    Documents that this leaves without a word, such as all copies but one, go; any with words of its own stays.
     """
-    return line_dedup.cleaned(docs, min_words=quality.MIN_WORDS)
+    return line_dedup.cleaned(docs, min_words=1)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

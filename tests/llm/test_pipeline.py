@@ -19,6 +19,15 @@ def test_stages_keep_the_columns(spark, request, rows):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR).columns == ["doc_id", "n_tokens", "ids"]
 
 
+def test_line_dedup_keeps_short_rests_with_words_of_their_own(spark):
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    line = words("shared", 20)
+    texts = [f"{words('own', 45)}\n{line}", f"{line}\none word", line, f"{line}\n{words('keeper', 60)}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup_stage(spark, docs, SF_DIR).collect()}
+    assert got == {0: words("own", 45), 1: "one word", 3: texts[3]}
+
+
 def test_run_equals_stages_and_library(spark):
     from tokenizers import Tokenizer
 

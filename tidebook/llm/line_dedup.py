@@ -205,7 +205,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars
 def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", min_chars: int = 20, min_docs: int = 3, min_words: int = 0) -> DataFrame:
     """The rows of ``docs`` with the lines dropped from ``text``; a column ``n_chars``, if there is one, counts what is left.
 
-    Rows that lost lines and have fewer than ``min_words`` words left go: their content stands in other rows. All columns keep their names and order, whatever the names are.
+    Rows that lost lines and have fewer than ``min_words`` words left go. With 1 these are the rows whose every word stands in other rows; a larger value
+    drops words that stand nowhere else. All columns keep their names and order, whatever the names are.
     """
     names = docs.columns
     plain = docs.toDF(*(f"__{i}" for i in range(len(names))))
