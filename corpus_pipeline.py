@@ -15,7 +15,7 @@ from tidebook.sources.tables import table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or are depleted by boilerplate go."""
+    """Documents that fail the base rules or are depleted by boilerplate go; the others lose their boilerplate lines."""
     return quality.accepted(docs)
 
 

@@ -227,6 +227,19 @@ def test_boilerplate_is_counted_by_distinct_documents_of_a_host(spark):
     assert quality.accepted(df).columns == df.columns
 
 
+@pytest.mark.parametrize("most", [quality.MOST_LINES, 0])
+def test_accepted_texts_lack_the_lines_over_the_limits(spark, most):
+    body = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    notice = "This notice stands on every page"
+    site = [(i, f"\n{body(i)}\n \n  {notice.upper()}\t\n{notice}\nmenu\nlast É {i}", "a", None if i % 2 else 7) for i in range(60)]
+    other = [(100, f"{body(100)}\n{notice}", "b", 7), (101, f"{body(101)}\n{notice}", None, 7)]  # hosts where it is rare
+    df = spark.createDataFrame(site + other, "doc_id long, text string, source string, n_chars int")
+    want = {d: (f"\n{body(d)}\n \nmenu\nlast É {d}" if h == "a" else t, len(f"\n{body(d)}\n \nmenu\nlast É {d}") if h == "a" else n) for d, t, h, n in site + other}
+    out = quality.accepted(df, most_lines=most)
+    assert out.dtypes == df.dtypes
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()} == want
+
+
 # 7
 
 

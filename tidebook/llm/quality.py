@@ -2,8 +2,9 @@
 
 Every line of a document is normalised (words in lower case, white space between them ignored) and hashed. Within each
 host the distinct documents that hold a line are counted, where documents with the same text are one. Lines above the
-limit are boilerplate and count as removed; a document with too small a rest is depleted and rejected, beside those
-that fail the base rules on words and repeated windows.
+limit are boilerplate and removed; a document with too small a rest is depleted and rejected, beside those that fail
+the base rules on words and repeated windows. ``verdicts`` counts the removed words of each document, ``accepted`` gives
+the kept documents without the removed lines.
 
 Results, by case: null or empty text has no words and fails the base rules. A null host is a host of its own. Rows with
 the same text and host get the same verdict, whatever their ids, so repeated rows and null ids do no harm. Documents of
@@ -12,6 +13,8 @@ any length are read whole. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,7 +23,7 @@ from pyspark.sql import types as T
 
 from tidebook.llm.arrow import map_rows
 from tidebook.llm.kernels import _IS_SPACE, Words, _powers, mix
-from tidebook.llm.shared import join_side
+from tidebook.llm.shared import MOST_BROADCAST_ROWS, join_side, measured
 from tidebook.session import written
 
 #: Lines of fewer words are never boilerplate.
@@ -29,6 +32,8 @@ MIN_LINE_WORDS = 5
 LIMIT_DOCS, LIMIT_SHARE = 50, 0.01
 #: A document is depleted if less than this share of its words remains.
 MIN_REST = 0.2
+#: Most (host, line) pairs over the limits that are broadcast.
+MOST_LINES = 200_000
 #: Base rules.
 MIN_WORDS, MOST_REPEATED_PERCENT = 50, 50
 
@@ -76,6 +81,37 @@ def repeated_lines(text: str | None) -> int:
     return len(lines) - len(set(lines))
 
 
+def line_keys(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key, words and line feeds before (in all texts) of each line with a word, and where each text's lines start (one entry more than texts)."""
+    # lines: words of one text between two line feeds, hashed in order
+    feeds = np.cumsum(words.data == 10)
+    line = feeds[words.starts] if len(words.starts) else np.zeros(0, np.int64)
+    new = np.ones(len(line), bool)
+    new[1:] = line[1:] != line[:-1]
+    firsts = words.first[:-1]
+    new[firsts[firsts < len(line)]] = True
+    at = np.flatnonzero(new)
+    power, inverse = _powers(len(line) + 1)
+    keys = mix(np.add.reduceat(words.hashes * power[: len(line)], at) * inverse[at]).view(np.int64) if len(at) else np.zeros(0, np.int64)
+    return keys, np.diff(np.append(at, len(line))), line[at], np.searchsorted(at, words.first)
+
+
+def drop_lines(column: pa.Array, gone: Callable[[int], np.ndarray | None]) -> tuple[list[str | None], list[bool]]:
+    """Each text without the lines whose key is in ``gone(row)``, and whether it lost any."""
+    words = Words(column, lower=True)
+    keys, sizes, line, first = line_keys(words)
+    before = np.concatenate([[0], np.cumsum(words.data == 10)])[words.offsets]
+    texts, lost = [], []
+    for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+        text, over = column[i].as_py(), gone(i)
+        cut = set()
+        if over is not None and len(over):
+            cut = set((line[a:b][(sizes[a:b] >= MIN_LINE_WORDS) & np.isin(keys[a:b], over)] - before[i]).tolist())
+        texts.append("\n".join(x for k, x in enumerate(text.split("\n")) if k not in cut) if cut else text)
+        lost.append(bool(cut))
+    return texts, lost
+
+
 def measure(batch: pa.RecordBatch, text: str) -> dict[str, list]:
     """The base figures of each text, and the normalised lines it holds with their words in it."""
     column = batch.column(text)
@@ -89,18 +125,7 @@ def measure(batch: pa.RecordBatch, text: str) -> dict[str, list]:
         "n_dup_lines": [repeated_lines(t.as_py()) for t in column],
         "n_repeat_words": [repeated_words(windows[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)],
     }
-    # lines: words of one text between two line feeds, hashed in order
-    feeds = np.cumsum(words.data == 10)
-    line = feeds[words.starts] if len(words.starts) else np.zeros(0, np.int64)
-    new = np.ones(len(line), bool)
-    new[1:] = line[1:] != line[:-1]
-    firsts = words.first[:-1]
-    new[firsts[firsts < len(line)]] = True
-    at = np.flatnonzero(new)
-    power, inverse = _powers(len(line) + 1)
-    keys = mix(np.add.reduceat(words.hashes * power[: len(line)], at) * inverse[at]).view(np.int64) if len(at) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(at, len(line)))
-    first = np.searchsorted(at, words.first)
+    keys, sizes, _, first = line_keys(words)
     long_enough = sizes >= MIN_LINE_WORDS
     out["line_keys"], out["line_words"] = [], []
     for a, b in zip(first[:-1], first[1:], strict=True):
@@ -116,19 +141,23 @@ def content_keys(text: str, host: str) -> tuple[Column, Column]:
     return F.coalesce(F.concat(F.lit("="), F.col(f"`{host}`").cast("string")), F.lit("")), F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
 
 
-def verdicts(docs: DataFrame, text: str = "text", host: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns, ``__host`` and ``__tid`` of each row with the base figures, ``base_failed``, ``n_removed_words`` and ``kept``."""
-    keep = keep or []
+def _counted(docs: DataFrame, text: str, host: str, keep: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """The figures of each row, its distinct lines, the (host, key) pairs over the limits, and how many they are."""
     by_host, by_text = content_keys(text, host)
     named = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])), by_host.alias("__host"), by_text.alias("__tid"))
-    measured = written(map_rows(named, text, [*keep, "__host", "__tid"], lambda: lambda batch: measure(batch, text), _FIELDS), "quality")
-    lines = measured.select("__host", "__tid", F.explode(F.arrays_zip("line_keys", "line_words")).alias("l"))
+    figures = written(map_rows(named, text, [*keep, "__host", "__tid"], lambda: lambda batch: measure(batch, text), _FIELDS), "quality")
+    lines = figures.select("__host", "__tid", F.explode(F.arrays_zip("line_keys", "line_words")).alias("l"))
     lines = lines.groupBy("__host", F.col("l.line_keys").alias("key"), "__tid").agg(F.max("l.line_words").alias("words"))
-    hosts = measured.groupBy("__host").agg(F.count_distinct("__tid").alias("host_docs"))
+    hosts = figures.groupBy("__host").agg(F.count_distinct("__tid").alias("host_docs"))
     counts = lines.groupBy("__host", "key").agg(F.count("*").alias("n")).where(F.col("n") > LIMIT_DOCS)
     over = counts.join(hosts, "__host").where(F.col("n") > LIMIT_SHARE * F.col("host_docs")).select("__host", "key")
-    removed = lines.join(join_side(over, "boilerplate"), ["__host", "key"]).groupBy("__host", "__tid").agg(F.sum("words").alias("n_removed_words"))
-    joined = measured.join(removed, ["__host", "__tid"], "left")
+    return figures, lines, *measured(over, "boilerplate")
+
+
+def _judged(figures: DataFrame, lines: DataFrame, over: DataFrame, n_over: int, keep: list[str]) -> DataFrame:
+    side = F.broadcast(over) if n_over <= MOST_BROADCAST_ROWS else over
+    removed = lines.join(side, ["__host", "key"]).groupBy("__host", "__tid").agg(F.sum("words").alias("n_removed_words"))
+    joined = figures.join(removed, ["__host", "__tid"], "left")
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     rest = F.col("n_words") - F.coalesce("n_removed_words", F.lit(0))
     return joined.select(
@@ -139,10 +168,58 @@ def verdicts(docs: DataFrame, text: str = "text", host: str = "source", keep: li
     )
 
 
-def accepted(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose verdict is to keep them."""
+def verdicts(docs: DataFrame, text: str = "text", host: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """``keep`` columns, ``__host`` and ``__tid`` of each row with the base figures, ``base_failed``, ``n_removed_words`` and ``kept``."""
+    keep = keep or []
+    return _judged(*_counted(docs, text, host, keep), keep)
+
+
+def accepted(docs: DataFrame, text: str = "text", host: str = "source", n_chars: str = "n_chars", most_lines: int = MOST_LINES) -> DataFrame:
+    """The rows of ``docs`` whose verdict is to keep them, without the lines over the limits in ``text``.
+
+    A column ``n_chars``, if there is one, counts what is left where lines went. All columns keep their names and order, whatever the names are.
+    """
+    names = docs.columns
+    figures, lines, over, n_over = _counted(docs, text, host, [])
+    rejected = _judged(figures, lines, over, n_over, []).where("not kept").select(F.col("__host").alias("__rhost"), F.col("__tid").alias("__rtid")).distinct()
     by_host, by_text = content_keys(text, host)
-    rejected = verdicts(docs, text, host).where("not kept").select(F.col("__host").alias("__rhost"), F.col("__tid").alias("__rtid")).distinct()
-    keyed = docs.select("*", by_host.alias("__host"), by_text.alias("__tid"))
+    keyed = docs.select("*", by_host.alias("__host"), by_text.alias("__tid")).toDF(*(f"__{i}" for i in range(len(names))), "__host", "__tid")
     side = join_side(rejected, "rejected")
-    return keyed.join(side, (F.col("__host") == F.col("__rhost")) & (F.col("__tid") == F.col("__rtid")), "left_anti").drop("__host", "__tid")
+    rest = keyed.join(side, (F.col("__host") == F.col("__rhost")) & (F.col("__tid") == F.col("__rtid")), "left_anti")
+    body = f"__{names.index(text)}"
+    keep = [f"__{i}" for i in range(len(names)) if f"__{i}" != body]
+    fields = [T.StructField("rest", T.StringType()), T.StructField("lost", T.BooleanType())]
+
+    if n_over <= most_lines:
+        by: dict[str, list[int]] = {}
+        for r in over.toLocalIterator():
+            by.setdefault(r["__host"], []).append(r["key"])
+        shared = docs.sparkSession.sparkContext.broadcast({h: np.array(x, np.int64) for h, x in by.items()})
+        extra = "__host"
+
+        def make():
+            gone = shared.value
+
+            def work(batch: pa.RecordBatch) -> dict:
+                hosts = batch.column("__host").to_pylist()
+                return dict(zip(("rest", "lost"), drop_lines(batch.column(body), lambda i: gone.get(hosts[i])), strict=True))
+
+            return work
+    else:
+        each = lines.join(over, ["__host", "key"]).groupBy("__host", "__tid").agg(F.collect_list("key").alias("__gone"))
+        rest = rest.join(each, ["__host", "__tid"], "left")
+        extra = "__gone"
+
+        def make():
+            def work(batch: pa.RecordBatch) -> dict:
+                lists = batch.column("__gone").to_pylist()
+                return dict(zip(("rest", "lost"), drop_lines(batch.column(body), lambda i: np.array(lists[i] or [], np.int64)), strict=True))
+
+            return work
+
+    out = map_rows(rest, body, [*keep, extra], make, fields)
+    back = [F.col("rest") if c == body else F.col(c) for c in (f"__{i}" for i in range(len(names)))]
+    if n_chars in names:
+        k = names.index(n_chars)
+        back[k] = F.when(F.col("lost"), F.length("rest")).otherwise(F.col(f"__{k}")).cast(docs.schema[k].dataType)
+    return out.select(*(c.alias(n) for c, n in zip(back, names, strict=True)))
