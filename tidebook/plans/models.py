@@ -75,9 +75,19 @@ a as (select *, local_ts_us + {H6} as t1, local_ts_us + {H24} as t2 from q where
 select a.event_id, {sql6("x.equity - a.equity", "reward_6h")}, {sql6("y.equity - a.equity", "reward_24h")}
 from a asof left join u x on x.symbol_id = a.symbol_id and x.local_ts_us >= a.t1 asof left join u y on y.symbol_id = a.symbol_id and y.local_ts_us >= a.t2""")
 def path_rewards(spark, sf_dir):
-    """Changes of equity to later rows: operators 37, 146 and 147."""
+    """Changes of equity to later rows from every third quote id, as its SQL has it; path_rewards_all takes all quotes."""
+    return _path_rewards(spark, sf_dir, "event_id % 3 = 0")
+
+
+@query("path_rewards_all")
+def path_rewards_all(spark, sf_dir):
+    """Changes of equity to later rows from every quote: operators 37, 146 and 147."""
+    return _path_rewards(spark, sf_dir, "true")
+
+
+def _path_rewards(spark, sf_dir, anchors: str):
     q = events(spark, sf_dir).where("is_trade = 0").select("symbol_id", "event_id", "local_ts_us", k.mid_price("best_bid_tick", "best_ask_tick").cast("double").alias("equity"))
-    got = simulation.path_rewards(q.where("event_id % 3 = 0"), q, BY, {"6h": H6, "24h": H24})
+    got = simulation.path_rewards(q.where(anchors), q, BY, {"6h": H6, "24h": H24})
     return got.select("event_id", r6("reward_6h", "reward_6h"), r6("reward_24h", "reward_24h"))
 
 
