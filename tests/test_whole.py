@@ -7,7 +7,7 @@ import pytest
 
 from tidebook.plans import registry
 from tidebook.plans.common import H6, H24, HOUR
-from tidebook.sources.market import events
+from tidebook.sources.market import events, l2_updates
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -47,3 +47,20 @@ def test_every_quote_gets_its_rewards(spark, tape):
     got = registry.queries()["path_rewards_all"](spark, SF_DIR).collect()
     assert len(got) == len(quotes)
     assert {r["event_id"]: (r["reward_6h"], r["reward_24h"]) for r in got} == {r["event_id"]: (reward(r, H6), reward(r, H24)) for r in quotes}
+
+
+def test_every_batch_gets_its_best_levels(spark):
+    batches = collections.defaultdict(list)
+    for r in l2_updates(spark, SF_DIR).collect():
+        batches[r["local_ts_us"]].append(r)
+    book, want = {"bid": {}, "ask": {}}, set()
+    for t in sorted(batches):
+        for r in batches[t]:
+            book[r["side"]][r["price_tick"]] = r["amount"]
+        for side, held in book.items():
+            best = sorted((p for p, x in held.items() if x > 0), reverse=side == "bid")[:5]
+            want |= {(t, side, i, p, held[p]) for i, p in enumerate(best)}
+    got = registry.queries()["book_top_levels_all"](spark, SF_DIR)
+    got = [tuple(r) for r in got.select("local_ts_us", "side", "level", "price_tick", "amount").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert len({r[0] for r in got}) > 50
