@@ -2,6 +2,9 @@
 
 A *document function* gets the texts of some rows and returns new columns for the same rows, in order. ``map_rows``
 keeps the other columns as they are, so a row never leaves its partition and nothing is shuffled.
+
+Columns travel under plain names, so any name will do: one with dots, or one that a result also has. In the latter case
+the result takes the name and the input's column goes by the same with ``_input`` behind it.
 """
 
 from __future__ import annotations
@@ -11,14 +14,37 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidebook.session import ship_package
 
-#: Bytes of text that a document function is given at once, unless one document alone has more.
-CHUNK_BYTES = 2_000_000
+#: Bytes of text, and rows, that a document function is given at once, unless one document alone has more.
+CHUNK_BYTES, CHUNK_ROWS = 2_000_000, 100_000
+
+
+def col(name: str) -> Column:
+    """The column of exactly this name, whatever signs it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def apart(names: list[str], taken: list[str]) -> list[str]:
+    """``names``, each with ``_input`` behind it as often as it takes to differ from all that are taken."""
+    used = {x.lower() for x in taken}
+    out = []
+    for n in names:
+        while n.lower() in used:
+            n += "_input"
+        used.add(n.lower())
+        out.append(n)
+    return out
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1 and so on."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
 
 
 def texts_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +69,7 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
     ends = np.cumsum(sizes)
     start, done = 0, 0
     while start < n:
-        stop = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
+        stop = min(max(start + 1, int(np.searchsorted(ends, done + most, side="right"))), start + CHUNK_ROWS)
         yield batch.slice(start, stop - start)
         start, done = stop, int(ends[stop - 1])
 
@@ -56,22 +82,21 @@ def map_rows(df: DataFrame, text: str, keep: list[str], make: Callable[[], Calla
     """
     ship_package(df.sparkSession)
     read = list(dict.fromkeys([*keep, text]))
-    out = T.StructType([*(df.schema[c] for c in keep), *fields])
+    names = [*apart(keep, [f.name for f in fields]), *(f.name for f in fields)]
+    out = T.StructType([T.StructField(f"k{i}", f.dataType, f.nullable) for i, f in enumerate([*(df.schema[c] for c in keep), *fields])])
     arrow = to_arrow_schema(out, timezone="UTC") if any(isinstance(f.dataType, T.TimestampType) for f in out.fields) else to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
         for batch in batches:
-            for part in chunks(batch, text, most):
+            for part in chunks(batch.rename_columns(read), text, most):
                 work = work or make()
                 got = work(part)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(c) if part.column(c).type == arrow.field(c).type else part.column(c).cast(arrow.field(c).type) for c in keep]
-                    + [got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], arrow.field(f.name).type) for f in fields],
-                    schema=arrow,
-                )
+                columns = [*(part.column(c) for c in keep), *(got[f.name] for f in fields)]
+                typed = [pa.array(x, t) if not isinstance(x, pa.Array) else x if x.type == t else x.cast(t) for x, t in zip(columns, arrow.types, strict=True)]
+                yield pa.RecordBatch.from_arrays(typed, schema=arrow)
 
-    return df.select(*read).mapInArrow(run, out)
+    return df.select(*(col(c).alias(f"c{i}") for i, c in enumerate(read))).mapInArrow(run, out).toDF(*names)
 
 
 def map_out(df: DataFrame, text: str, read: list[str], make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], out: T.StructType, most: int = CHUNK_BYTES) -> DataFrame:
@@ -82,9 +107,9 @@ def map_out(df: DataFrame, text: str, read: list[str], make: Callable[[], Callab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
         for batch in batches:
-            for part in chunks(batch, text, most):
+            for part in chunks(batch.rename_columns(read), text, most):
                 work = work or make()
                 if (got := work(part)) is not None and got.num_rows:
                     yield got
 
-    return df.select(*read).mapInArrow(run, out)
+    return df.select(*(col(c).alias(f"c{i}") for i, c in enumerate(read))).mapInArrow(run, out)

@@ -10,7 +10,8 @@ fixes; predictions read every text whole. What is broadcast is ``PROFILE`` n-gra
 Results, by case: a null text, or one without a letter, is ``und`` with score 0; so is every text if nothing was learned.
 The score is 1 less the share of the largest possible distance. Ties go to the language first in order, and n-grams of
 equal frequency are ranked by their code points. Ids matter only for the sample; a null id counts as the empty text.
-Repeated rows give repeated results. An empty table gives no rows.
+Repeated rows give repeated results. An empty table gives no rows. A kept column with the name of a result has ``_input``
+behind its own.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidebook.llm.arrow import chunks, map_rows
+from tidebook.llm.arrow import chunks, col, map_rows
 from tidebook.session import ship_package
 
 #: N-grams of a profile, of a language and of a text alike.
@@ -32,6 +33,8 @@ PROFILE = 400
 #: Labelled rows that are read to learn, on average.
 SAMPLE_DOCS = 20_000
 UNDETERMINED = "und"
+#: Characters that are read at once.
+PIECE = 1_000_000
 
 _LETTERS: np.ndarray | None = None
 
@@ -48,21 +51,28 @@ def letters() -> np.ndarray:
     return _LETTERS
 
 
-def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of a text, sorted, as 63-bit integers of up to three code points, and their counts."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if not text:
-        return none
-    s = letters()[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
-    if not s.any():
-        return none
-    s = np.concatenate([[0], s, [0]]).astype(np.uint64)
-    keep = np.ones(len(s), bool)
-    keep[1:] = (s[1:] > 0) | (s[:-1] > 0)  # one separator between words
-    s = s[keep]
-    two = (s[:-1] << np.uint64(21)) | s[1:]
-    three = ((two[:-1] << np.uint64(21)) | s[2:])[s[1:-1] > 0]
-    return np.unique(np.concatenate([s[s > 0], two, three]), return_counts=True)
+def grams(text: str | None, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a text, sorted, as 63-bit integers of up to three code points, and their counts.
+
+    A long text is read in pieces, each behind the two signs before it, so memory is bounded by the distinct n-grams.
+    """
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    before = np.zeros(1, np.uint64)  # a text begins with a separator, and ends with one
+    text = text or ""
+    for at in range(0, len(text), piece):
+        signs = letters()[np.frombuffer(text[at : at + piece].encode("utf-32-le"), np.uint32)].astype(np.uint64)
+        s = np.concatenate([before, signs, np.zeros(int(at + piece >= len(text)), np.uint64)])
+        keep = np.ones(len(s), bool)
+        keep[1:] = (s[1:] > 0) | (s[:-1] > 0)  # one separator between words
+        s, old = s[keep], len(before)
+        signs = np.maximum(s, np.uint64(1))  # a separator counts as 1, so that no n-gram looks like a shorter one
+        two = (signs[:-1] << np.uint64(21)) | signs[1:]
+        three = ((two[:-1] << np.uint64(21)) | signs[2:])[max(old - 2, 0) :][s[1:-1][max(old - 2, 0) :] > 0]
+        fresh = np.concatenate([s[old:][s[old:] > 0], two[old - 1 :], three])  # n-grams that end in this piece
+        keys, where = np.unique(np.concatenate([keys, fresh]), return_inverse=True)
+        counts = np.bincount(where, np.concatenate([counts, np.ones(len(fresh), np.int64)]), len(keys)).astype(np.int64)
+        before = s[-2:]
+    return keys, counts
 
 
 def ranked(keys: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
@@ -72,10 +82,10 @@ def ranked(keys: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
 
 def learn(docs: DataFrame, labelled: Column, doc_id: str, text: str, lang: str) -> list[tuple[str, list[int]]]:
     """(language, n-grams by rank) of each language in the sample, by language."""
-    rows = docs.where(labelled & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = docs.where(labelled & F.col(lang).isNotNull()).count()
+    rows = docs.where(labelled & col(lang).isNotNull() & col(text).isNotNull())
+    n = docs.where(labelled & col(lang).isNotNull()).count()
     rate = min(1.0, SAMPLE_DOCS / max(n, 1))
-    picked = F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(1 << 30)) < int(rate * (1 << 30))
+    picked = F.pmod(F.xxhash64(F.coalesce(col(doc_id).cast("string"), F.lit(""))), F.lit(1 << 30)) < int(rate * (1 << 30))
     ship_package(docs.sparkSession)
     out = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
 
@@ -90,7 +100,7 @@ def learn(docs: DataFrame, labelled: Column, doc_id: str, text: str, lang: str)
                     n = np.bincount(where, np.concatenate([c for _, c in own]), len(keys)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n)], names=out.names)
 
-    counted = rows.where(picked).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).mapInArrow(count, out).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = rows.where(picked).select(col(lang).cast("string").alias("lang"), col(text).alias("text")).mapInArrow(count, out).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = counted.withColumn("rank", first).where(F.col("rank") <= PROFILE)
     profiles: dict[str, list[int]] = defaultdict(list)
