@@ -12,6 +12,7 @@ broadcast only within a checked size; beyond it each document gets its own list
 
 Results, by case: null or empty text is one empty line. Rows with one id are one document; a null id counts as one
 document below all others. Repeated lines of a document count once, and all go or stay. An empty table gives no rows.
+A kept column with the name of a result has ``_input`` behind its own.
 """
 
 from __future__ import annotations
@@ -27,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidebook.llm.arrow import map_out, map_rows
+from tidebook.llm.arrow import apart, col, map_out, map_rows, plain
 from tidebook.llm.shared import measured
 from tidebook.session import ship_package, written
 
 #: Bits of a filter, in segments: 2^28 bits are 32 MB.
 SEGMENTS, SEGMENT_BITS = 256, 1 << 20
 #: Lines that a task gathers before it hands on its filters.
-FLUSH_LINES = 500_000
+FLUSH_LINES = 150_000
 #: Most removed lines whose table is broadcast.
 MOST_LINES = 200_000
 NULL_ID = -(2**63)
@@ -95,22 +96,29 @@ def twice_seen(docs: DataFrame, text: str, min_chars: int) -> dict[int, bytes]:
             yield flush(once, again)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        """Rows stand by segment, so two unpacked filters are held, whatever the number of segments."""
+        once, twice = np.zeros(SEGMENT_BITS, bool), np.zeros(SEGMENT_BITS, bool)
+        at = None
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if at is not None and twice.any():
+                yield batch_of(whole, [(at, zlib.compress(np.packbits(twice).tobytes(), 1))])
+
         for batch in batches:
-            for s, first, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if s not in filters:
-                    filters[s] = (np.zeros(SEGMENT_BITS, bool), np.zeros(SEGMENT_BITS, bool))
-                once, twice = filters[s]
-                bits = np.frombuffer(first, np.uint32)
+            for s, first, more in zip(*batch.columns, strict=True):
+                if s.as_py() != at:
+                    yield from finish()
+                    at = s.as_py()
+                    once[:] = twice[:] = False
+                bits = np.frombuffer(first.as_py(), np.uint32)
                 twice[bits[once[bits]]] = True
                 once[bits] = True
-                twice[np.frombuffer(more, np.uint32)] = True
-        rows = [(s, zlib.compress(np.packbits(twice).tobytes(), 1)) for s, (_, twice) in filters.items() if twice.any()]
-        if rows:
-            yield batch_of(whole, rows)
+                twice[np.frombuffer(more.as_py(), np.uint32)] = True
+        yield from finish()
 
-    parts = docs.select(text).mapInArrow(gather, part)
-    return {r["segment"]: bytes(r["bits"]) for r in parts.repartition("segment").mapInArrow(merge, whole).collect()}
+    parts = docs.select(col(text).alias("text")).mapInArrow(gather, part)
+    merged = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, whole)
+    return {r["segment"]: bytes(r["bits"]) for r in merged.collect()}  # as many rows as the filter has segments, at most
 
 
 def suspects(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
@@ -156,11 +164,18 @@ def drop_lines(text: str | None, min_chars: int, goes) -> tuple[str, int, int]:
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, keep: list[str] | None = None, texts: bool = True, digests: bool = False, most_lines: int = MOST_LINES) -> DataFrame:
     """``keep`` columns of each row with ``n_lines``, ``n_dropped`` and, as asked, ``kept_text`` with ``kept_words``, and ``kept_sha256``."""
     keep = keep if keep is not None else [c for c in docs.columns if c != text]
-    found = written(suspects(docs, doc_id, text, min_chars), "suspects")
+    read = plain(docs)
+    own, body = (f"c{docs.columns.index(c)}" for c in (doc_id, text))
+    places = [f"c{docs.columns.index(c)}" for c in keep]
+    found = written(suspects(read, own, body, min_chars), "suspects")
     lines, n = measured(repeated(found, min_docs), "repeated")
     fields = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
     fields += [T.StructField("kept_text", T.StringType()), T.StructField("kept_words", T.LongType())] * texts + [T.StructField("kept_sha256", T.StringType())] * digests
 
+    def restored(out: DataFrame) -> DataFrame:
+        taken = [f.name for f in fields]
+        return out.select(*(F.col(c).alias(n) for c, n in zip(places, apart(keep, taken), strict=True)), *taken)
+
     def columns(rows) -> dict:
         out: dict[str, list] = {f.name: [] for f in fields}
         for rest, before, dropped in rows:
@@ -180,26 +195,24 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars
             keeper = shared.value
 
             def work(batch: pa.RecordBatch) -> dict:
-                ids = batch.column(doc_id).to_pylist()
-                return columns(drop_lines(t.as_py(), min_chars, lambda k, i=NULL_ID if i is None else i: keeper.get(k, i) != i) for t, i in zip(batch.column(text), ids, strict=True))
+                ids = batch.column(own).to_pylist()
+                return columns(drop_lines(t.as_py(), min_chars, lambda k, i=NULL_ID if i is None else i: keeper.get(k, i) != i) for t, i in zip(batch.column(body), ids, strict=True))
 
             return work
 
-        read = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, doc_id, text])))
-        return map_rows(read, text, list(dict.fromkeys([*keep, doc_id])), make, fields).select(*(F.col(f"`{c}`") for c in keep), *(f.name for f in fields))
+        return restored(map_rows(read, body, list(dict.fromkeys([*places, own])), make, fields))
 
     gone = found.join(lines, "key").where("doc <> keeper").groupBy("doc").agg(F.collect_set("key").alias("__gone")).withColumnRenamed("doc", "__doc")
-    read = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, doc_id, text])))
-    each = read.join(gone, F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NULL_ID)) == F.col("__doc"), "left").drop("__doc")
+    each = read.join(gone, F.coalesce(col(own).cast("long"), F.lit(NULL_ID)) == F.col("__doc"), "left").drop("__doc")
 
     def make_by_list():
         def work(batch: pa.RecordBatch) -> dict:
             lists = batch.column("__gone").to_pylist()
-            return columns(drop_lines(t.as_py(), min_chars, set(g or ()).__contains__) for t, g in zip(batch.column(text), lists, strict=True))
+            return columns(drop_lines(t.as_py(), min_chars, set(g or ()).__contains__) for t, g in zip(batch.column(body), lists, strict=True))
 
         return work
 
-    return map_rows(each, text, [*keep, "__gone"], make_by_list, fields).drop("__gone")
+    return restored(map_rows(each, body, [*places, "__gone"], make_by_list, fields))
 
 
 def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", min_chars: int = 20, min_docs: int = 3, min_words: int = 0) -> DataFrame:
@@ -209,12 +222,12 @@ def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars
     drops words that stand nowhere else. All columns keep their names and order, whatever the names are.
     """
     names = docs.columns
-    plain = docs.toDF(*(f"__{i}" for i in range(len(names))))
-    own, body = f"__{names.index(doc_id)}", f"__{names.index(text)}"
-    out = dedup(plain, own, body, min_chars, min_docs, keep=[c for c in plain.columns if c != body])
-    back = [F.col("kept_text") if c == body else F.col(c) for c in plain.columns]
+    read = plain(docs)
+    own, body = f"c{names.index(doc_id)}", f"c{names.index(text)}"
+    out = dedup(read, own, body, min_chars, min_docs, keep=[c for c in read.columns if c != body])
+    back = [F.col("kept_text") if c == body else F.col(c) for c in read.columns]
     if n_chars in names:
         k = names.index(n_chars)
-        back[k] = F.when(F.col("n_dropped") > 0, F.length("kept_text")).otherwise(F.col(f"__{k}")).cast(docs.schema[k].dataType)
+        back[k] = F.when(F.col("n_dropped") > 0, F.length("kept_text")).otherwise(F.col(f"c{k}")).cast(docs.schema[k].dataType)
     out = out.where((F.col("n_dropped") == 0) | (F.col("kept_words") >= min_words))
     return out.select(*(c.alias(n) for c, n in zip(back, names, strict=True)))
