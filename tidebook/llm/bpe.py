@@ -7,13 +7,17 @@ of fragments, and of whole runs between white space, make most of the work a loo
 The vocabulary is a file of the ``tokenizers`` library: byte-level symbols, an end-of-word suffix, merges in order. Its
 path is a parameter; the driver reads it (its size is bounded by the vocabulary) and it travels with the task.
 
+A fragment of n letters takes n log n steps, however long it is.
+
 Results: null text is an empty text with no ids. Special tokens in a text are their own ids, as the library has it by
 default. Texts of any length are encoded whole. Repeated rows give repeated results; an empty table gives no rows.
+A kept column with the name of a result has ``_input`` behind its own.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 
 import pyarrow as pa
@@ -24,8 +28,12 @@ from pyspark.sql import types as T
 
 from tidebook.llm.arrow import map_rows
 
-#: Most runs and fragments that a worker's memos hold before they start anew.
-MEMO_RUNS, MEMO_FRAGMENTS = 500_000, 150_000
+#: Bytes that a worker's memos of runs and of fragments take before they start anew, and the longest run they keep.
+MEMO_RUN_BYTES, MEMO_FRAGMENT_BYTES, MEMO_LENGTH = 64_000_000, 16_000_000, 200
+#: A longer fragment is merged with a heap.
+HEAP_LENGTH = 100
+#: Bytes that an entry of a memo takes beside the characters of its key and value.
+_ENTRY = 250
 #: A vocabulary file above this is refused, as it travels with every task.
 MOST_VOCABULARY_BYTES = 64_000_000
 
@@ -44,16 +52,21 @@ def byte_letters() -> dict[str, int]:
 
 
 class _Memo(dict):
-    """A dictionary that computes what it lacks and never holds more than ``most`` entries."""
+    """A dictionary that computes what it lacks, keeps no long values and never takes more than ``most`` bytes."""
 
     def __init__(self, compute, most: int):
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.most, self.held = compute, most, 0
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        self[key] = found = self.compute(key)
+        found = self.compute(key)
+        if len(found) <= 4 * MEMO_LENGTH:  # at least an id for every few bytes: long keys have long values
+            size = _ENTRY + 2 * len(found)
+            if self.held + size > self.most:
+                self.clear()
+                self.held = 0
+            self.held += size
+            self[key] = found
         return found
 
 
@@ -82,8 +95,8 @@ class Encoder:
         self.words = regex.compile(pattern.replace(r"\s", _SPACE))
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.whole = tokenizers.Tokenizer.from_str(spec)
-        self.fragments = _Memo(self._merge, MEMO_FRAGMENTS)
-        self.memo = _Memo(self._run, MEMO_RUNS)
+        self.fragments = _Memo(self._merge, MEMO_FRAGMENT_BYTES)
+        self.memo = _Memo(self._run, MEMO_RUN_BYTES)
 
     def _cuts(self, s: str) -> list[str]:
         """The fragments of a word between forced boundaries."""
@@ -101,6 +114,8 @@ class Encoder:
         parts = list(s)
         if last:
             parts[-1] += self.suffix
+        if len(parts) > HEAP_LENGTH:
+            return self._merge_long(parts)
         rank, none = self.rank, len(self.rank)
         ranks = [rank.get(p, none) for p in zip(parts, parts[1:], strict=False)]
         while ranks and (best := min(ranks)) < none:  # the leftmost of the best pairs, and only its neighbours change
@@ -113,6 +128,29 @@ class Encoder:
                 ranks[i] = rank.get((parts[i], parts[i + 1]), none)
         return b"".join([self.ids[p].to_bytes(4, "little") for p in parts])
 
+    def _merge_long(self, parts: list[str]) -> bytes:
+        """The same for a long fragment: a heap of pairs by rank and place, and neighbours as links."""
+        rank, n = self.rank, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if (r := rank.get(p)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if not parts[i] or j >= n or rank.get((parts[i], parts[j])) != r:
+                continue  # one of the pair has been merged since
+            parts[i] += parts[j]
+            parts[j] = ""
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank.get((parts[i], parts[k]))) is not None:
+                    heapq.heappush(heap, (r, i))
+            h = before[i]
+            if h >= 0 and (r := rank.get((parts[h], parts[i]))) is not None:
+                heapq.heappush(heap, (r, h))
+        return b"".join([self.ids[p].to_bytes(4, "little") for p in parts if p])
+
     def _word(self, word: str) -> bytes:
         """Ids of one word: its fragments, each encoded by itself."""
         s = "".join([self.letters[b] for b in word.encode()])
