@@ -1,14 +1,16 @@
 """Quality rules by cross-document line frequency.
 
 Every line of a document is normalised (words in lower case, white space between them ignored) and hashed. Within each
-host the distinct documents that hold a line are counted, where documents with the same text are one. Lines above the
-limit are boilerplate and removed; a document with too small a rest is depleted and rejected, beside those that fail
+host the distinct documents that hold a line are counted, where documents with the same text are one: else the lines of
+a text with many exact copies would be over the limit and no copy would be left. Lines above the limit are boilerplate
+and removed, lines of a few words above a higher limit of their own; a document with too small a rest is depleted and rejected, beside those that fail
 the base rules on words and repeated windows. ``verdicts`` counts the removed words of each document, ``accepted`` gives
 the kept documents without the removed lines.
 
 Results, by case: null or empty text has no words and fails the base rules. A null host is a host of its own. Rows with
 the same text and host get the same verdict, whatever their ids, so repeated rows and null ids do no harm. Documents of
-any length are read whole. An empty table gives no rows.
+any length are read whole. An empty table gives no rows. Columns may have any names; a kept column with the name of a
+result has ``_input`` behind its own.
 """
 
 from __future__ import annotations
@@ -21,15 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidebook.llm.arrow import map_rows
+from tidebook.llm.arrow import apart, map_rows, plain
 from tidebook.llm.kernels import _IS_SPACE, Words, _powers, mix
 from tidebook.llm.shared import MOST_BROADCAST_ROWS, join_side, measured
 from tidebook.session import written
 
-#: Lines of fewer words are never boilerplate.
-MIN_LINE_WORDS = 5
 #: A line is boilerplate on a host if more distinct documents than this, and than this share of the host's, hold it.
-LIMIT_DOCS, LIMIT_SHARE = 50, 0.01
+LIMIT_DOCS, LIMIT_SHARE = 5, 0.02
+#: Lines of fewer words recur by chance: they have a limit of their own.
+SHORT_WORDS, SHORT_SHARE = 5, 0.1
 #: A document is depleted if less than this share of its words remains.
 MIN_REST = 0.2
 #: Most (host, line) pairs over the limits that are broadcast.
@@ -82,7 +84,10 @@ def repeated_lines(text: str | None) -> int:
 
 
 def line_keys(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Key, words and line feeds before (in all texts) of each line with a word, and where each text's lines start (one entry more than texts)."""
+    """Key, words and line feeds before (in all texts) of each line with a word, and where each text's lines start (one entry more than texts).
+
+    Keys of short lines are odd, those of others even.
+    """
     # lines: words of one text between two line feeds, hashed in order
     feeds = np.cumsum(words.data == 10)
     line = feeds[words.starts] if len(words.starts) else np.zeros(0, np.int64)
@@ -91,22 +96,23 @@ def line_keys(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     firsts = words.first[:-1]
     new[firsts[firsts < len(line)]] = True
     at = np.flatnonzero(new)
+    sizes = np.diff(np.append(at, len(line)))
     power, inverse = _powers(len(line) + 1)
     keys = mix(np.add.reduceat(words.hashes * power[: len(line)], at) * inverse[at]).view(np.int64) if len(at) else np.zeros(0, np.int64)
-    return keys, np.diff(np.append(at, len(line))), line[at], np.searchsorted(at, words.first)
+    return (keys & -2) | (sizes < SHORT_WORDS), sizes, line[at], np.searchsorted(at, words.first)
 
 
 def drop_lines(column: pa.Array, gone: Callable[[int], np.ndarray | None]) -> tuple[list[str | None], list[bool]]:
     """Each text without the lines whose key is in ``gone(row)``, and whether it lost any."""
     words = Words(column, lower=True)
-    keys, sizes, line, first = line_keys(words)
+    keys, _, line, first = line_keys(words)
     before = np.concatenate([[0], np.cumsum(words.data == 10)])[words.offsets]
     texts, lost = [], []
     for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
         text, over = column[i].as_py(), gone(i)
         cut = set()
         if over is not None and len(over):
-            cut = set((line[a:b][(sizes[a:b] >= MIN_LINE_WORDS) & np.isin(keys[a:b], over)] - before[i]).tolist())
+            cut = set((line[a:b][np.isin(keys[a:b], over)] - before[i]).tolist())
         texts.append("\n".join(x for k, x in enumerate(text.split("\n")) if k not in cut) if cut else text)
         lost.append(bool(cut))
     return texts, lost
@@ -126,52 +132,50 @@ def measure(batch: pa.RecordBatch, text: str) -> dict[str, list]:
         "n_repeat_words": [repeated_words(windows[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)],
     }
     keys, sizes, _, first = line_keys(words)
-    long_enough = sizes >= MIN_LINE_WORDS
     out["line_keys"], out["line_words"] = [], []
     for a, b in zip(first[:-1], first[1:], strict=True):
-        ok = long_enough[a:b]
-        own, where = np.unique(keys[a:b][ok], return_inverse=True)
+        own, where = np.unique(keys[a:b], return_inverse=True)
         out["line_keys"].append(own)
-        out["line_words"].append(np.bincount(where, sizes[a:b][ok], len(own)).astype(np.int64))
+        out["line_words"].append(np.bincount(where, sizes[a:b], len(own)).astype(np.int64))
     return out
 
 
 def content_keys(text: str, host: str) -> tuple[Column, Column]:
     """What a verdict depends on: the host (null apart from every name) and a 128-bit digest of the text."""
-    return F.coalesce(F.concat(F.lit("="), F.col(f"`{host}`").cast("string")), F.lit("")), F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    return F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("")), F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
 def _counted(docs: DataFrame, text: str, host: str, keep: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """The figures of each row, its distinct lines, the (host, key) pairs over the limits, and how many they are."""
+    """The figures of each row, its distinct lines, the (host, key) pairs over the limits, and how many they are. Columns have plain names."""
     by_host, by_text = content_keys(text, host)
-    named = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])), by_host.alias("__host"), by_text.alias("__tid"))
-    figures = written(map_rows(named, text, [*keep, "__host", "__tid"], lambda: lambda batch: measure(batch, text), _FIELDS), "quality")
-    lines = figures.select("__host", "__tid", F.explode(F.arrays_zip("line_keys", "line_words")).alias("l"))
-    lines = lines.groupBy("__host", F.col("l.line_keys").alias("key"), "__tid").agg(F.max("l.line_words").alias("words"))
-    hosts = figures.groupBy("__host").agg(F.count_distinct("__tid").alias("host_docs"))
-    counts = lines.groupBy("__host", "key").agg(F.count("*").alias("n")).where(F.col("n") > LIMIT_DOCS)
-    over = counts.join(hosts, "__host").where(F.col("n") > LIMIT_SHARE * F.col("host_docs")).select("__host", "key")
+    named = docs.select(*dict.fromkeys([*keep, text]), by_host.alias("host"), by_text.alias("tid"))
+    figures = written(map_rows(named, text, [*keep, "host", "tid"], lambda: lambda batch: measure(batch, text), _FIELDS), "quality")
+    lines = figures.select("host", "tid", F.explode(F.arrays_zip("line_keys", "line_words")).alias("l"))
+    lines = lines.groupBy("host", F.col("l.line_keys").alias("key"), "tid").agg(F.max("l.line_words").alias("words"))
+    hosts = figures.groupBy("host").agg(F.count_distinct("tid").alias("host_docs"))
+    counts = lines.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > LIMIT_DOCS)
+    share = F.when(F.col("key") % 2 == 0, LIMIT_SHARE).otherwise(SHORT_SHARE)
+    over = counts.join(hosts, "host").where(F.col("n") > share * F.col("host_docs")).select("host", "key")
     return figures, lines, *measured(over, "boilerplate")
 
 
-def _judged(figures: DataFrame, lines: DataFrame, over: DataFrame, n_over: int, keep: list[str]) -> DataFrame:
+def _judged(figures: DataFrame, lines: DataFrame, over: DataFrame, n_over: int) -> DataFrame:
+    """``figures`` with ``base_failed``, ``kept`` and ``n_removed_words``."""
     side = F.broadcast(over) if n_over <= MOST_BROADCAST_ROWS else over
-    removed = lines.join(side, ["__host", "key"]).groupBy("__host", "__tid").agg(F.sum("words").alias("n_removed_words"))
-    joined = figures.join(removed, ["__host", "__tid"], "left")
+    removed = lines.join(side, ["host", "key"]).groupBy("host", "tid").agg(F.sum("words").alias("gone"))
+    gone = F.coalesce("gone", F.lit(0))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    rest = F.col("n_words") - F.coalesce("n_removed_words", F.lit(0))
-    return joined.select(
-        *(F.col(f"`{c}`") for c in keep), "__host", "__tid", *METRICS,
-        base_failed.alias("base_failed"),
-        (~base_failed & (rest >= MIN_REST * F.col("n_words"))).alias("kept"),
-        F.coalesce("n_removed_words", F.lit(0)).alias("n_removed_words"),
-    )
+    kept = ~base_failed & (F.col("n_words") - gone >= MIN_REST * F.col("n_words"))
+    return figures.join(removed, ["host", "tid"], "left").select("*", base_failed.alias("base_failed"), kept.alias("kept"), gone.alias("n_removed_words"))
 
 
 def verdicts(docs: DataFrame, text: str = "text", host: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns, ``__host`` and ``__tid`` of each row with the base figures, ``base_failed``, ``n_removed_words`` and ``kept``."""
-    keep = keep or []
-    return _judged(*_counted(docs, text, host, keep), keep)
+    """``keep`` columns of each row with the base figures, ``base_failed``, ``n_removed_words`` and ``kept``."""
+    keep, names = keep or [], docs.columns
+    place = {c: f"c{names.index(c)}" for c in [*keep, text, host]}
+    result = [*METRICS, "base_failed", "kept", "n_removed_words"]
+    judged = _judged(*_counted(plain(docs), place[text], place[host], [place[c] for c in keep]))
+    return judged.select(*(F.col(place[c]).alias(n) for c, n in zip(keep, apart(keep, result), strict=True)), *result)
 
 
 def accepted(docs: DataFrame, text: str = "text", host: str = "source", n_chars: str = "n_chars", most_lines: int = MOST_LINES) -> DataFrame:
@@ -180,46 +184,47 @@ def accepted(docs: DataFrame, text: str = "text", host: str = "source", n_chars:
     A column ``n_chars``, if there is one, counts what is left where lines went. All columns keep their names and order, whatever the names are.
     """
     names = docs.columns
-    figures, lines, over, n_over = _counted(docs, text, host, [])
-    rejected = _judged(figures, lines, over, n_over, []).where("not kept").select(F.col("__host").alias("__rhost"), F.col("__tid").alias("__rtid")).distinct()
-    by_host, by_text = content_keys(text, host)
-    keyed = docs.select("*", by_host.alias("__host"), by_text.alias("__tid")).toDF(*(f"__{i}" for i in range(len(names))), "__host", "__tid")
+    read = plain(docs)
+    body, site = f"c{names.index(text)}", f"c{names.index(host)}"
+    figures, lines, over, n_over = _counted(read, body, site, [])
+    rejected = _judged(figures, lines, over, n_over).where("not kept").select(F.col("host").alias("rhost"), F.col("tid").alias("rtid")).distinct()
+    by_host, by_text = content_keys(body, site)
+    keyed = read.select("*", by_host.alias("host"), by_text.alias("tid"))
     side = join_side(rejected, "rejected")
-    rest = keyed.join(side, (F.col("__host") == F.col("__rhost")) & (F.col("__tid") == F.col("__rtid")), "left_anti")
-    body = f"__{names.index(text)}"
-    keep = [f"__{i}" for i in range(len(names)) if f"__{i}" != body]
+    rest = keyed.join(side, (F.col("host") == F.col("rhost")) & (F.col("tid") == F.col("rtid")), "left_anti")
+    keep = [c for c in read.columns if c != body]
     fields = [T.StructField("rest", T.StringType()), T.StructField("lost", T.BooleanType())]
 
     if n_over <= most_lines:
         by: dict[str, list[int]] = {}
         for r in over.toLocalIterator():
-            by.setdefault(r["__host"], []).append(r["key"])
+            by.setdefault(r["host"], []).append(r["key"])
         shared = docs.sparkSession.sparkContext.broadcast({h: np.array(x, np.int64) for h, x in by.items()})
-        extra = "__host"
+        extra = "host"
 
         def make():
             gone = shared.value
 
             def work(batch: pa.RecordBatch) -> dict:
-                hosts = batch.column("__host").to_pylist()
+                hosts = batch.column("host").to_pylist()
                 return dict(zip(("rest", "lost"), drop_lines(batch.column(body), lambda i: gone.get(hosts[i])), strict=True))
 
             return work
     else:
-        each = lines.join(over, ["__host", "key"]).groupBy("__host", "__tid").agg(F.collect_list("key").alias("__gone"))
-        rest = rest.join(each, ["__host", "__tid"], "left")
-        extra = "__gone"
+        each = lines.join(over, ["host", "key"]).groupBy("host", "tid").agg(F.collect_list("key").alias("lines_gone"))
+        rest = rest.join(each, ["host", "tid"], "left")
+        extra = "lines_gone"
 
         def make():
             def work(batch: pa.RecordBatch) -> dict:
-                lists = batch.column("__gone").to_pylist()
+                lists = batch.column("lines_gone").to_pylist()
                 return dict(zip(("rest", "lost"), drop_lines(batch.column(body), lambda i: np.array(lists[i] or [], np.int64)), strict=True))
 
             return work
 
     out = map_rows(rest, body, [*keep, extra], make, fields)
-    back = [F.col("rest") if c == body else F.col(c) for c in (f"__{i}" for i in range(len(names)))]
+    back = [F.col("rest") if c == body else F.col(c) for c in read.columns]
     if n_chars in names:
         k = names.index(n_chars)
-        back[k] = F.when(F.col("lost"), F.length("rest")).otherwise(F.col(f"__{k}")).cast(docs.schema[k].dataType)
+        back[k] = F.when(F.col("lost"), F.length("rest")).otherwise(F.col(f"c{k}")).cast(docs.schema[k].dataType)
     return out.select(*(c.alias(n) for c, n in zip(back, names, strict=True)))
