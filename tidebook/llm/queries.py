@@ -42,7 +42,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return quality.verdicts(docs, keep=["doc_id"]).drop("__host", "__tid")
+    return quality.verdicts(docs, keep=["doc_id"])
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +103,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("found", lambda x: x["kind"] != "format")
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(kind) for kind in secrets.KINDS[:3]]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), F.size(F.filter("found", lambda x: x["likely"])).cast("long").alias("n_likely"))
 
 
 def _op6_sql() -> str:
@@ -158,8 +158,9 @@ lines as (select doc_id, source, text, unnest(string_split(text, chr(10))) as li
 dup as (select doc_id, count(*) - count(distinct line) as n_dup_lines from lines where regexp_matches(line, {_WORD}) group by doc_id),
 keys as (select distinct doc_id, source, text, regexp_extract_all({_LOWER.replace("coalesce(text, '')", "line")}, {_WORD}) as key, count(*) over (partition by doc_id, regexp_extract_all({_LOWER.replace("coalesce(text, '')", "line")}, {_WORD})) as times from lines),
 hosts as (select source, count(distinct text) as host_docs from d group by source),
-boiler as (select k.source, key from keys k join hosts h on h.source is not distinct from k.source where len(key) >= {quality.MIN_LINE_WORDS}
-  group by k.source, key, host_docs having count(distinct text) > {quality.LIMIT_DOCS} and count(distinct text) > {quality.LIMIT_SHARE} * host_docs),
+boiler as (select k.source, key from keys k join hosts h on h.source is not distinct from k.source where len(key) > 0
+  group by k.source, key, host_docs having count(distinct text) > {quality.LIMIT_DOCS}
+  and count(distinct text) > case when len(key) < {quality.SHORT_WORDS} then {quality.SHORT_SHARE} else {quality.LIMIT_SHARE} end * host_docs),
 gone as (select doc_id, sum(len(k.key) * times)::bigint as n_removed_words from keys k join boiler b on b.key = k.key and b.source is not distinct from k.source group by doc_id),
 base as (select doc_id, len(ws) as n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::bigint as word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
   coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_removed_words, 0) as n_removed_words

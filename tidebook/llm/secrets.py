@@ -2,18 +2,22 @@
 
 The patterns label credentials in a bounded sample of documents. For each kind the labelled values build a prefix tree
 over classes of characters; states whose continuations are statistically compatible (Hoeffding's bound on every relative
-frequency, down the tree) are merged, which leaves a probabilistic automaton of the format. Every long run of credential
-characters in any text is then a candidate: its log-likelihood under the best automaton, less that under a model of
-ordinary words, decides. Candidates above the threshold are added as spans of kind ``format`` where no pattern matched.
+frequency, down the tree) are merged, which leaves a probabilistic automaton of the format. What the patterns match, and
+every long run of credential characters in any text, is then a candidate: its score is its log-likelihood under the best
+automaton, less that under a model of ordinary words. Runs above the threshold are added as spans of kind ``format`` where
+no pattern matched; the patterns' own spans stay, whatever their score, and carry it.
+
+What is learned from is bounded: about ``SAMPLE_DOCS`` documents, of their credentials ``MOST_LABELLED`` of each kind and
+of their ordinary runs ``MOST_WORDS``, both up to ``MOST_LENGTH`` characters long and chosen by a hash. Scans read all.
 
 Results, by case: null text is empty and has no spans. Texts are scanned whole. Spans count code points, the end excluded,
 and stand in the order of start, then kind. Rows are scanned by themselves, so ids, repeated rows and ties do no harm.
-Without labelled credentials nothing is added. An empty table gives no rows.
+Without labelled credentials nothing is added and scores are null. An empty table gives no rows. Columns may have any
+names; a kept column with the name of a result has ``_input`` behind its own.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidebook.llm.arrow import chunks, map_rows, texts_buffer
+from tidebook.llm.arrow import chunks, col, map_rows, texts_buffer
 from tidebook.session import ship_package, written
 
 #: The patterns of the base kinds, in their order.
@@ -36,10 +40,8 @@ KINDS = ("assign", "access", "hex", "format")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
-#: Documents that are read to learn, on average; labelled values of each kind, and ordinary words, that are used.
-SAMPLE_DOCS, MOST_LABELLED, MOST_WORDS = 20_000, 400, 4000
-#: Ordinary runs that a sampled document gives at most.
-DOC_WORDS = 20
+#: Documents that are read to learn, on average; labelled values of each kind, and ordinary runs, that are used; their longest.
+SAMPLE_DOCS, MOST_LABELLED, MOST_WORDS, MOST_LENGTH = 20_000, 400, 4000, 256
 #: Observations that the back-off of the model of ordinary runs stands for.
 BACK_OFF = 50.0
 #: Shortest candidate; confidence of the merging test; log-likelihood ratio that a candidate needs, in all and a character.
@@ -193,36 +195,41 @@ class Model:
         self.automata = [Automaton([tuple(_CLASS[c] for c in s) for s in values]) for _, values in sorted(labelled.items()) if values]
         self.words = Words(words)
 
-    def is_secret(self, run: str) -> bool:
+    def score(self, run: str) -> float | None:
+        """The log-likelihood ratio of a credential of some format to an ordinary run; None if nothing was learned."""
         if not self.automata:
-            return False
+            return None
         s = tuple(_CLASS[c] for c in run)
-        ratio = max(a.likelihood(s) for a in self.automata) - self.words.likelihood(run)
-        return ratio >= MIN_RATIO and ratio >= MIN_RATIO_CHAR * len(run)
+        return max(a.likelihood(s) for a in self.automata) - self.words.likelihood(run)
+
+
+def likely(score: float | None, length: int) -> bool:
+    """Whether a candidate of so many characters passes for a credential."""
+    return score is not None and score >= MIN_RATIO and score >= MIN_RATIO_CHAR * length
 
 
 def learn(docs: DataFrame, text: str) -> Model:
     """The automata of a bounded sample of documents, chosen by a hash of their text at a rate that the row count fixes."""
     rate = min(1.0, SAMPLE_DOCS / max(docs.count(), 1))
-    picked = F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 30)) < int(rate * (1 << 30))
+    picked = F.pmod(F.xxhash64(col(text)), F.lit(1 << 30)) < int(rate * (1 << 30))
     ship_package(docs.sparkSession)
     out = T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
         for batch in batches:
-            for part in chunks(batch, text):
+            for part in chunks(batch, "text"):
                 found = set()
-                for t in part.column(text):
+                for t in part.column("text"):
                     spans = base_spans(t.as_py())
-                    found |= {(KINDS[k], v) for _, k, _, v in spans if len(v) <= 256}
-                    free = (m for m in plain.finditer(t.as_py()) if len(m[0]) <= 256 and not any(s < m.end() and m.start() < e for s, _, e, _ in spans))
-                    found |= {("word", m[0]) for m, _ in zip(free, range(DOC_WORDS), strict=False)}
+                    found |= {(KINDS[k], v) for _, k, _, v in spans if len(v) <= MOST_LENGTH}
+                    free = (m for m in plain.finditer(t.as_py()) if not any(s < m.end() and m.start() < e for s, _, e, _ in spans))
+                    found |= {("word", m[0]) for m in free if len(m[0]) <= MOST_LENGTH}
                 if found:
                     kinds, values = zip(*sorted(found), strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(values)], names=out.names)
 
-    seen = written(docs.where(picked & F.col(text).isNotNull()).select(text).mapInArrow(label, out).distinct(), "labelled")
+    seen = written(docs.where(picked & col(text).isNotNull()).select(col(text).alias("text")).mapInArrow(label, out).distinct(), "labelled")
 
     def some(kind: str, most: int) -> list[str]:
         return [r["value"] for r in seen.where(F.col("kind") == kind).orderBy(F.md5("value"), "value").limit(most).collect()]
@@ -244,8 +251,8 @@ def runs(flags: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray
     return starts[long], ends[long]
 
 
-def scan_batch(column: pa.Array, model: Model | None) -> list[list[tuple[int, int, int]]]:
-    """(start, kind, end) of all spans of each text."""
+def scan_batch(column: pa.Array, model: Model) -> list[list[tuple[int, int, int, float | None, bool]]]:
+    """(start, kind, end, score, likely) of all spans of each text."""
     data, offsets = texts_buffer(column)
     lowered = data.tobytes().lower()
     starts, ends = runs(_RUN[data], offsets, MIN_RUN)
@@ -256,30 +263,27 @@ def scan_batch(column: pa.Array, model: Model | None) -> list[list[tuple[int, in
     for d, t in enumerate(column):
         lo, hi = int(offsets[d]), int(offsets[d + 1])
         text = t.as_py() or ""
-        spans = [s[:3] for s in base_spans(text, lowered[lo:hi], d in has_hex)]
-        added = []
-        for j in range(first[d], first[d + 1]) if model else ():
+        base = base_spans(text, lowered[lo:hi], d in has_hex)
+        spans = [(s, k, e, score := model.score(v), likely(score, len(v))) for s, k, e, v in base]
+        for j in range(first[d], first[d + 1]) if model.automata else ():
             a, b = int(starts[j]), int(ends[j])
-            if model.is_secret(data[a:b].tobytes().decode()):
+            score = model.score(data[a:b].tobytes().decode())
+            if likely(score, b - a):
                 at = len(data[lo:a].tobytes().decode())
-                if not any(s < at + b - a and at < e for s, _, e in spans):
-                    added.append((at, 3, at + b - a))
-        out.append(sorted(spans + added))
+                if not any(s < at + b - a and at < e for s, _, e, _ in base):
+                    spans.append((at, 3, at + b - a, score, True))
+        out.append(sorted(spans))
     return out
 
 
 def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of every row with ``found``: an array of (kind, start, end) in order."""
+    """``keep`` columns of every row with ``found``: an array of (kind, start, end, score, likely) in order."""
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, text))
-    span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    kinds = {"kind": T.StringType(), "start": T.LongType(), "end": T.LongType(), "score": T.DoubleType(), "likely": T.BooleanType()}
+    span = T.StructType([T.StructField(n, t) for n, t in kinds.items()])
 
     def make():
         model = shared.value
-        return lambda batch: {"found": [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans] for spans in scan_batch(batch.column(text), model)]}
+        return lambda batch: {"found": [[dict(zip(kinds, (KINDS[k], s, e, score, ok), strict=True)) for s, k, e, score, ok in spans] for spans in scan_batch(batch.column(text), model)]}
 
     return map_rows(docs, text, keep if keep is not None else [c for c in docs.columns if c != text], make, [T.StructField("found", T.ArrayType(span))])
-
-
-def digest(spans: list[tuple[int, int, int]]) -> str:
-    """The SHA-256 digest of spans joined by commas."""
-    return hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest()
