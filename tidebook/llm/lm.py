@@ -10,9 +10,10 @@ Word counts are kept exactly, as 64-bit hashes with counts, for the base score a
 with c(h w) the mean count of its level, at most c(h). A text begins after a start mark and closes with an end token.
 
 Training gathers, in every task, the distinct words and pairs with their counts and hands them on by segment, a range of
-hashes; each segment is merged in one task. Segments grow in number with the corpus, not in size. The model (filter and
-counts) is broadcast in groups of segments of bounded size: one group, if all fit, or else a pass over the documents
-for each group, which fills in what the group knows and hands the tokens' counts on through a written table.
+hashes; each segment is merged by itself. Segments grow in number with the corpus, not in size. A model (filter and counts)
+of bounded size is broadcast. A larger one stays where it is: blocks of documents are written with their distinct words
+and pairs, these go to the bucket of segments that knows them, and the answers come back to the block. That is two
+shuffles, whatever the size of the model.
 
 Results, by case: null text is empty, and an empty text has the end token alone. Ids matter only for the hold-out: a null
 id counts as the empty text. Repeated rows count as often as they occur. Without training tokens all probabilities are
@@ -21,6 +22,7 @@ id counts as the empty text. Repeated rows count as often as they occur. Without
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,21 +30,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidebook.llm.arrow import chunks, map_rows
+from tidebook.llm.arrow import chunks, col, map_rows
 from tidebook.llm.kernels import Words, mix
 from tidebook.session import ship_package, written
 
 #: Text bytes for which there is one segment.
 SEGMENT_BYTES = 8_000_000
+#: Most segments; beyond so many times the bytes they grow.
+MOST_SEGMENTS = 100_000
 #: Tokens that a training task gathers before it hands them on.
-FLUSH_TOKENS = 1_000_000
+FLUSH_TOKENS = 600_000
 #: Base of the logarithmic scale, bits of the filter for each entry, and its hash functions.
 SCALE, ENTRY_BITS, HASHES = 1.5, 6, 4
 #: Weight of the word distribution against that of pairs.
 MU = 100.0
-#: Bytes of a group of segments, the most that is broadcast at once.
+#: Bytes of the largest model that is broadcast; beyond it, bytes of model in a bucket, and of text in a block of documents.
 MOST_MODEL_BYTES = 160_000_000
+BUCKET_BYTES, BLOCK_BYTES = 24_000_000, 2_000_000
 
 #: Hashes of the end token and of the start mark, which no word has.
 END, START = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
@@ -57,7 +63,7 @@ _MODEL = T.StructType([T.StructField("segment", T.LongType()), T.StructField("wo
 
 
 def held_out(doc_id: str, modulus: int = 10, remainder: int = 0) -> Column:
-    return F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).cast("binary")) % modulus == remainder
+    return F.crc32(F.coalesce(col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -113,8 +119,8 @@ def fill_bits(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def segments_of(docs: DataFrame, text: str) -> int:
-    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
-    return int(max(8, -(-size // SEGMENT_BYTES)))
+    size = docs.agg(F.sum(F.octet_length(col(text)))).first()[0] or 0
+    return int(min(max(8, -(-size // SEGMENT_BYTES)), MOST_SEGMENTS))
 
 
 def train(docs: DataFrame, text: str, segments: int) -> DataFrame:
@@ -138,8 +144,8 @@ def train(docs: DataFrame, text: str, segments: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(cuts[:-1], pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], names=_PARTS.names)
 
         for batch in batches:
-            for part in chunks(batch, text):
-                h, p, _ = tokens(part.column(text))
+            for part in chunks(batch, "text"):
+                h, p, _ = tokens(part.column("text"))
                 words.append(_counted([(h, np.ones(len(h), np.int64))]))
                 pairs.append(_counted([(p, np.ones(len(p), np.int64))]))
                 seen += len(h)
@@ -162,7 +168,7 @@ def train(docs: DataFrame, text: str, segments: int) -> DataFrame:
             return pa.RecordBatch.from_pydict({"segment": [at], "words": [h.tobytes()], "counts": [counts.tobytes()], "bits": [bits.tobytes()], "n": [int(n.sum())], "v": [len(h)], "bytes": [16 * len(h) + len(bits)]}, schema=pa.schema([("segment", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("bits", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("bytes", pa.int64())]))
 
         for batch in batches:
-            for s, *blobs in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for s, *blobs in ([x.as_py() for x in row] for row in zip(*batch.columns, strict=True)):
                 if s != at:
                     if at is not None:
                         yield finish()
@@ -172,8 +178,8 @@ def train(docs: DataFrame, text: str, segments: int) -> DataFrame:
         if at is not None:
             yield finish()
 
-    found = docs.select(text).mapInArrow(gather, _PARTS)
-    return written(found.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, _MODEL), "lm")
+    found = docs.select(col(text).alias("text")).mapInArrow(gather, _PARTS)
+    return written(found.repartition(-(-segments // 4), "segment").sortWithinPartitions("segment").mapInArrow(merge, _MODEL), "lm")
 
 
 class Group:
@@ -220,98 +226,140 @@ class Group:
         return own, found
 
 
-def groups_of(model: DataFrame, most: int) -> list[tuple[int, int]]:
-    """(first, last) segments of each group, filled up to ``most`` bytes. One small row a segment comes to the driver."""
-    sizes = sorted((r["segment"], r["bytes"]) for r in model.select("segment", "bytes").toLocalIterator())
-    out: list[list[int]] = []
-    total = most + 1
-    for s, b in sizes:
-        if total + b > most:
-            out.append([s, s])
-            total = 0
-        total += b
-        out[-1][1] = s
-    return [tuple(x) for x in out]
+_SCORES = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
+
+
+def scores(counts: np.ndarray, levels: np.ndarray, bounds: np.ndarray, n: int, v: int) -> dict[str, np.ndarray]:
+    """The figures of some texts from their tokens' counts and pairs' levels; ``n`` tokens and ``v`` words were trained on."""
+    word = (counts + 0.1) / (n + 0.1 * (v + 1))
+    before = np.empty_like(counts)  # how often the word before was trained on; the start mark once a text
+    before[1:] = counts[:-1]
+    before[bounds[:-1]] = counts[bounds[1:] - 1]
+    pair = np.minimum(MEAN[levels], before)
+    smoothed = (pair + MU * word) / (before + MU)
+    sums = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  every text has its end token
+    return {"n_tokens": np.diff(bounds), "n_known": sums((counts > 0).astype(np.int64)), "train_tokens": np.full(len(bounds) - 1, n), "base_score": sums(np.log10(word)), "score": sums(np.log10(smoothed))}
 
 
 def score(docs: DataFrame, model: DataFrame, segments: int, doc_id: str, text: str, most: int = MOST_MODEL_BYTES) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row."""
-    spark = docs.sparkSession
-    totals = model.agg(F.sum("n"), F.sum("v")).first()
-    n, v = totals[0] or 0, totals[1] or 0
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
-    state = [T.StructField("__counts", T.BinaryType()), T.StructField("__levels", T.BinaryType())]
-    found = groups_of(model, most)
-    ranges = found or [(0, -1)]
-    rows = docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`").alias("__text"))
-    for k, (lo, hi) in enumerate(ranges):
-        last = k == len(ranges) - 1
-        part = [r.asDict() for r in model.where(F.col("segment").between(lo, hi)).orderBy("segment").toLocalIterator()] if found else []
-        shared = spark.sparkContext.broadcast(Group(part, segments) if part else None)
-        first = k == 0
-
-        def make(shared=shared, first=first, last=last):
-            group = shared.value
-
-            def work(batch: pa.RecordBatch) -> dict:
-                h, p, bounds = tokens(batch.column("__text"))
-                if first:
-                    counts, levels = np.zeros(len(h), np.int64), np.zeros(len(h), np.uint8)
-                else:
-                    counts = np.frombuffer(b"".join(batch.column("__counts").to_pylist()), np.int64).copy()
-                    levels = np.frombuffer(b"".join(batch.column("__levels").to_pylist()), np.uint8).copy()
-                if group is not None:
-                    for values, hashes, ask in ((counts, h, group.count), (levels, p, group.levels)):
-                        distinct, where = np.unique(hashes, return_inverse=True)
-                        own, got = ask(distinct)
-                        mine = own[where]
-                        values[mine] = got[where[mine]]
-                if not last:
-                    return {"__counts": [counts[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], "__levels": [levels[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]}
-                word = (counts + 0.1) / (n + 0.1 * (v + 1))
-                before = np.empty_like(counts)  # how often the word before was trained on; the start mark once a text
-                before[1:] = counts[:-1]
-                before[bounds[:-1]] = counts[bounds[1:] - 1]
-                pair = np.minimum(MEAN[levels], before)
-                smoothed = (pair + MU * word) / (before + MU)
-                sums = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  every text has its end token
-                return {"n_tokens": np.diff(bounds), "n_known": sums((counts > 0).astype(np.int64)), "train_tokens": np.full(len(bounds) - 1, n), "base_score": sums(np.log10(word)), "score": sums(np.log10(smoothed))}
-
-            return work
-
-        carried = [doc_id] if first else [doc_id, "__counts", "__levels"]
-        if last:
-            rows = map_rows(rows, "__text", carried, make, fields).drop("__counts", "__levels")
-        else:
-            kept = [doc_id, "__text"]
-            if first:
-                rows = map_rows(rows, "__text", kept, make, state)
-            else:
-                renamed = rows.select(*kept, "__counts", "__levels")
-                rows = _refill(renamed, kept, make, state)
-            rows = written(rows, "lm-state")
-    return rows
-
-
-def _refill(rows: DataFrame, kept: list[str], make, state) -> DataFrame:
-    """``map_rows`` where the new columns take the place of those that the document function reads."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    out = T.StructType([*(rows.schema[c] for c in kept), *state])
-    arrow = to_arrow_schema(out)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
+    n, v, size = (x or 0 for x in model.agg(F.sum("n"), F.sum("v"), F.sum("bytes")).first())
+    if size > most:
+        return _score_by_bucket(docs, model, segments, doc_id, text, n, v, -(-size // min(BUCKET_BYTES, most)))
+    part = [r.asDict() for r in model.orderBy("segment").toLocalIterator()]  # ``most`` bytes at most
+    shared = docs.sparkSession.sparkContext.broadcast(Group(part, segments) if part else None)
+
+    def make():
+        group = shared.value
+
+        def work(batch: pa.RecordBatch) -> dict:
+            h, p, bounds = tokens(batch.column(text))
+            counts, levels = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+            if group is not None:
+                for values, hashes, ask in ((counts, h, group.count), (levels, p, group.levels)):
+                    distinct, where = np.unique(hashes, return_inverse=True)
+                    values[:] = ask(distinct)[1][where]
+            return scores(counts, levels, bounds, n, v)
+
+        return work
+
+    return map_rows(docs, text, [doc_id], make, _SCORES)
+
+
+def _score_by_bucket(docs: DataFrame, model: DataFrame, segments: int, doc_id: str, text: str, n: int, v: int, buckets: int) -> DataFrame:
+    """``score`` with a model that isn't broadcast: questions are dealt to ``buckets`` of segments, and answers to the blocks that asked."""
+    ship_package(docs.sparkSession)
+    buckets = min(buckets, segments)
+    binary = ("a", "b", "c", "d")
+    mail = T.StructType([T.StructField("to", T.StringType()), T.StructField("kind", T.IntegerType()), T.StructField("place", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in binary)])
+    mailed = pa.schema([("to", pa.string()), ("kind", pa.int32()), ("place", pa.int64()), *((c, pa.binary()) for c in binary)])
+    ids = T.StructType([T.StructField("ids", T.ArrayType(docs.schema[doc_id].dataType))])
+    block = T.StructType([T.StructField("block", T.StringType()), *ids.fields, T.StructField("sizes", T.BinaryType()), *(T.StructField(c, T.BinaryType()) for c in binary)])
+    blocked = to_arrow_schema(block)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "__text"):
-                got = work(part)
-                yield pa.RecordBatch.from_arrays([*(part.column(c).cast(arrow.field(c).type) for c in kept), *(pa.array(got[f.name], pa.binary()) for f in state)], schema=arrow)
+            for part in chunks(batch, "text", BLOCK_BYTES):
+                h, p, bounds = tokens(part.column("text"))
+                blobs = []
+                for x in (h, p):
+                    distinct, where = np.unique(x, return_inverse=True)
+                    blobs += [distinct.tobytes(), where.astype(np.uint32).tobytes()]
+                row = [uuid.uuid4().hex, part.column("id").to_pylist(), np.diff(bounds).tobytes(), *blobs]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, blocked.types, strict=True)], schema=blocked)
+
+    # written, so a block keeps its name and its documents when a task runs again
+    asked = written(docs.select(col(doc_id).alias("id"), col(text).alias("text")).mapInArrow(ask, block), "lm-blocks")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, *blobs in ([x.as_py() for x in row] for row in zip(*batch.columns, strict=True)):
+                parts = []
+                for blob in blobs:
+                    x = np.frombuffer(blob, np.uint64)
+                    at = np.searchsorted(segment_of(x, segments) * buckets // segments, np.arange(buckets + 1))
+                    parts.append([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)])
+                some = [k for k in range(buckets) if parts[0][k] or parts[1][k]]
+                m = len(some)
+                rows = [[str(k) for k in some], [1] * m, [0] * m, *([x[k] for k in some] for x in parts), [name.encode()] * m, [None] * m]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, mailed.types, strict=True)], schema=mailed)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows, group = None, [], None
+        for batch in batches:
+            for to, kind, place, a, b, c, _ in ([x.as_py() for x in row] for row in zip(*batch.columns, strict=True)):
+                if to != at:
+                    at, rows, group = to, [], None
+                if kind == 0:
+                    rows.append({"segment": place, "words": a, "counts": b, "bits": c})
+                    continue
+                if group is None and rows:
+                    group, rows = Group(rows, segments), []
+                h, p = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                counts, levels = (group.count(h)[1], group.levels(p)[1]) if group else (np.zeros(len(h), np.int64), np.zeros(len(p), np.int64))
+                row = [c.decode(), 1, int(to), counts.tobytes(), levels.astype(np.uint8).tobytes(), None, None]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, mailed.types, strict=True)], schema=mailed)
+
+    out = T.StructType([T.StructField("id", docs.schema[doc_id].dataType), *_SCORES])
+    given = to_arrow_schema(out)
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, found = None, ([], [])
+
+        def finish() -> pa.RecordBatch:
+            names, sizes, *where = known
+            counts = np.frombuffer(b"".join(found[0]), np.int64)[np.frombuffer(where[0], np.uint32)]
+            levels = np.frombuffer(b"".join(found[1]), np.uint8)[np.frombuffer(where[1], np.uint32)]
+            got = scores(counts, levels, np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.int64))]), n, v)
+            return pa.RecordBatch.from_arrays([pa.array(names, given.types[0]), *(pa.array(got[f.name], t) for f, t in zip(_SCORES, given.types[1:], strict=True))], schema=given)
+
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):
+                _, kind, _, a, b, c, _, names = (x.as_py() for x in row)
+                if kind == 0:
+                    if known is not None:
+                        yield finish()
+                    known, found = (names, a, b, c), ([], [])
+                else:
+                    found[0].append(a)
+                    found[1].append(b)
+        if known is not None:
+            yield finish()
 
-    return rows.mapInArrow(run, out)
+    empty = F.lit(None).cast("binary")
+    bucket = F.expr(f"segment * {buckets}L div {segments}L").cast("string")
+    own = model.select(bucket.alias("to"), F.lit(0).alias("kind"), F.col("segment").alias("place"), F.col("words").alias("a"), F.col("counts").alias("b"), F.col("bits").alias("c"), empty.alias("d"))
+    letters = own.union(asked.select("block", "a", "c").mapInArrow(deal, mail))
+    order = ["to", "kind", "place"]
+    answers = letters.repartition(buckets, "to").sortWithinPartitions(*order).mapInArrow(answer, mail)
+    waiting = asked.select(F.col("block").alias("to"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("place"), F.col("sizes").alias("a"), F.col("b"), F.col("d").alias("c"), empty.alias("d"), "ids")
+    both = waiting.union(answers.withColumn("ids", F.lit(None).cast(ids["ids"].dataType)))
+    return both.repartition("to").sortWithinPartitions(*order).mapInArrow(collect, out).withColumnRenamed("id", doc_id)
 
 
 def score_held_out(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST_MODEL_BYTES) -> DataFrame:
     """All rows scored by a model of those that aren't held out, with ``held_out``."""
     segments = segments_of(docs, text)
     model = train(docs.where(~held_out(doc_id)), text, segments)
-    return score(docs, model, segments, doc_id, text, most).withColumn("held_out", held_out(doc_id))
+    found = score(docs.select(col(doc_id).alias("id"), col(text).alias("text")), model, segments, "id", "text", most)
+    return found.withColumn("held_out", held_out("id")).withColumnRenamed("id", doc_id)
