@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 
+import conftest
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from tidebook.llm import bpe, decontam, langid, line_dedup, lm, minmax, quality,
 from tidebook.sources.tables import table
 
 SF_DIR = "/root/testdata/sf0.001"
+prose = conftest.prose
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -64,6 +66,31 @@ def test_bpe_round_trip_of_columns(odd):
     assert again.where("decoded <> was").isEmpty()
 
 
+def test_long_fragments_equal_the_library_and_take_seconds():
+    import random
+    import time
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.vocabulary())
+    t.no_truncation()
+    e = bpe.Encoder(bpe.read_vocabulary(queries.vocabulary()))
+    rnd = random.Random(3)
+    for letters in ("a", "ab", "etaoin", "thequickbrownfox"):
+        for n in (bpe.HEAP_LENGTH + 1, 1000):
+            text = "".join(rnd.choice(letters) for _ in range(n))
+            assert list(memoryview(e.encode(text)).cast("I")) == t.encode(text, add_special_tokens=False).ids
+    start = time.time()
+    assert len(e.encode("a" * 200_000)) // 4 < 200_000 and time.time() - start < 30
+
+
+def test_memo_is_bounded_in_bytes():
+    m = bpe._Memo(lambda k: k * 4, 20 * bpe._ENTRY)
+    for i in range(1000):
+        m[b"%d" % i]
+    assert len(m) <= 20 and m[b"x" * 1000] and b"x" * 1000 not in m
+
+
 def test_forced_boundaries_cut_only_where_no_token_crosses():
     e = bpe.Encoder(bpe.read_vocabulary(queries.vocabulary()))
     tokens = [t.removesuffix(e.suffix) for t in e.ids]
@@ -113,12 +140,34 @@ def test_multi_index_finds_all_within_the_radius():
     import numpy as np
 
     rng = np.random.default_rng(1)
+    index = decontam.Index([(0, prose(40))])
+    own = index.keys.astype(np.uint16)
+    order = np.argsort(index.keys >> np.uint64(16), kind="stable")
+    bits = np.unpackbits(own[order].view(np.uint8))
     for _ in range(200):
-        a = rng.integers(0, 256, decontam.BLOCKS, dtype=np.uint8)
-        flips = rng.choice(decontam.BITS, decontam.RADIUS, replace=False)
-        bits = np.unpackbits(a)
-        bits[flips] ^= 1
-        assert (decontam._NEAR[a, np.packbits(bits)] <= decontam.RADIUS // decontam.BLOCKS).any()
+        far = bits.copy()
+        far[rng.choice(decontam.BITS, decontam.RADIUS, replace=False)] ^= 1
+        row, item = index.candidates(np.packbits(far).view(np.uint16)[None], 36)
+        assert len(row) and set(item.tolist()) == {0}
+
+
+def test_multi_index_selects_few_unrelated_items_and_nearly_all_at_the_threshold():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(4)
+    words = lambda n: " ".join(f"w{rnd.randrange(5000)}" for _ in range(n))
+    items = [words(45) for _ in range(400)]
+    index = decontam.Index(list(enumerate(items)))
+    s, _ = decontam.Words(pa.array([words(560)])).shingles(5)
+    row, item = index.candidates(decontam.fingerprints(s, np.arange(500), 41), 41)
+    assert len(set(zip(row.tolist(), item.tolist(), strict=True))) < 0.05 * 500 * 400
+    # 36 of 41 shingles shared: 36 / 46 = 0.78 of them
+    texts = [f"{words(30)} {' '.join(t.split()[:-5])} {words(30)}" for t in items]
+    found = decontam._search(index, pa.array(texts))
+    assert sum(i in [m[0] for m in f] for i, f in enumerate(found)) >= 399
 
 
 # 3
@@ -213,6 +262,28 @@ def test_quality_base_figures(docs):
     assert got == want
 
 
+def brute_quality(rows):
+    """{id: (n_removed_words, kept)} and {id: text without boilerplate}, line by line."""
+    split = lambda t: [(x, tuple(low(x))) for x in (t or "").split("\n")]
+    holders, hosts = collections.defaultdict(set), collections.defaultdict(set)
+    for _, t, h in rows:
+        hosts[h].add(t or "")
+        for _, k in split(t):
+            if k:
+                holders[h, k].add(t)
+    over = {(h, k) for (h, k), x in holders.items() if len(x) > quality.LIMIT_DOCS and len(x) > (quality.SHORT_SHARE if len(k) < quality.SHORT_WORDS else quality.LIMIT_SHARE) * len(hosts[h])}
+    verdict, rest = {}, {}
+    for d, t, h in rows:
+        words = WORD.findall(t or "")
+        windows = collections.Counter(zip(words, words[1:], words[2:], strict=False))
+        again = {j for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        gone = sum(len(k) for _, k in split(t) if (h, k) in over)
+        base = len(words) < 50 or 100 * len(again) > 50 * len(words)
+        verdict[d] = (gone, not base and len(words) - gone >= quality.MIN_REST * len(words))
+        rest[d] = "\n".join(x for x, k in split(t) if (h, k) not in over)
+    return verdict, rest
+
+
 def test_boilerplate_is_counted_by_distinct_documents_of_a_host(spark):
     body = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
     notice = " ".join(f"notice{j}" for j in range(60))
@@ -220,13 +291,24 @@ def test_boilerplate_is_counted_by_distinct_documents_of_a_host(spark):
     good = [(100 + i, f"{body(i)}\n{notice}", "a") for i in range(60)]  # own text with the notice
     copies = [(300 + i, "\n".join([body(7), body(8)]), "a") for i in range(80)]  # exact copies are one document
     other = [(500, f"{notice}\nonly 500", "b")]  # one document of another host
-    df = spark.createDataFrame(spam + good + copies + other, "doc_id long, text string, source string")
-    kept = {r["doc_id"] for r in quality.verdicts(df, keep=["doc_id"]).where("kept").collect()}
-    assert kept == {r[0] for r in good + copies + other}
-    assert {r["doc_id"] for r in quality.accepted(df).collect()} == kept
+    menus = [(600 + i, "\n".join([*(f"menu item {j}" for j in range(18)), f"x{i}"]), "c") for i in range(12)]  # short lines alone
+    seldom = [(700 + i, f"{body(700 + i)}\nby chance" * (i < 9) or body(700 + i), "d") for i in range(120)]  # a short line in 7 percent
+    rows = spam + good + copies + other + menus + seldom
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, rest = brute_quality(rows)
+    got = {r["doc_id"]: (r["n_removed_words"], r["kept"]) for r in quality.verdicts(df, keep=["doc_id"]).collect()}
+    assert got == want
+    assert {d for d, (_, k) in got.items() if k} == {r[0] for r in good + copies + other + seldom}
+    assert {r["doc_id"]: r["text"] for r in quality.accepted(df).collect()} == {d: rest[d] for d, (_, k) in want.items() if k}
     assert quality.accepted(df).columns == df.columns
 
 
+def test_verdicts_on_whole_tables_equal_brute_force(spark):
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]
+    got = {r["doc_id"]: (r["n_removed_words"], r["kept"]) for r in queries.op5_quality(spark, "/root/testdata/sf0.01").collect()}
+    assert got == brute_quality(rows)[0] and any(n for n, _ in got.values())
+
+
 @pytest.mark.parametrize("most", [quality.MOST_LINES, 0])
 def test_accepted_texts_lack_the_lines_over_the_limits(spark, most):
     body = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
@@ -234,7 +316,8 @@ def test_accepted_texts_lack_the_lines_over_the_limits(spark, most):
     site = [(i, f"\n{body(i)}\n \n  {notice.upper()}\t\n{notice}\nmenu\nlast É {i}", "a", None if i % 2 else 7) for i in range(60)]
     other = [(100, f"{body(100)}\n{notice}", "b", 7), (101, f"{body(101)}\n{notice}", None, 7)]  # hosts where it is rare
     df = spark.createDataFrame(site + other, "doc_id long, text string, source string, n_chars int")
-    want = {d: (f"\n{body(d)}\n \nmenu\nlast É {d}" if h == "a" else t, len(f"\n{body(d)}\n \nmenu\nlast É {d}") if h == "a" else n) for d, t, h, n in site + other}
+    rest = lambda d: f"\n{body(d)}\n \nlast É {d}"
+    want = {d: (rest(d), len(rest(d))) if h == "a" else (t, n) for d, t, h, n in site + other}
     out = quality.accepted(df, most_lines=most)
     assert out.dtypes == df.dtypes
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()} == want
@@ -257,6 +340,36 @@ def test_language_of_odd_rows(odd):
     assert [tuple(r) for r in nothing] == [("und", 0.0)]
 
 
+def test_languages_equal_brute_force(docs):
+    """Profiles and distances from plain counters of strings."""
+
+    def counted(text):
+        words = "".join(c.lower()[0] if c.isalpha() else " " for c in text or "").split()
+        line = f" {' '.join(words)} " if words else ""
+        grams = [line[i : i + k] for k in (1, 2, 3) for i in range(len(line) - k + 1)]
+        return collections.Counter(g for g in grams if g != " " and not (len(g) == 3 and g[1] == " "))
+
+    order = lambda g: (len(g), g.replace(" ", "\x01"))
+    top = lambda n: sorted(n, key=lambda g: (-n[g], order(g)))[: langid.PROFILE]
+    rows = docs.select("doc_id", "text", "lang").collect()
+    learned = collections.defaultdict(collections.Counter)
+    for r in rows:
+        if r["lang"] is not None:
+            learned[r["lang"]].update(counted(r["text"]))
+    profiles = {lang: {g: i for i, g in enumerate(top(n))} for lang, n in learned.items() if n}
+    want = []
+    for r in rows:
+        own = top(counted(r["text"]))
+        if not own:
+            want.append((r["doc_id"], "und", 0.0))
+            continue
+        distance = {lang: sum(abs(p[g] - i) if g in p else langid.PROFILE for i, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(distance), key=distance.get)
+        want.append((r["doc_id"], best, round(1 - distance[best] / (langid.PROFILE * len(own)), 9)))
+    got = langid.identify(docs, F.lit(True)).collect()
+    assert sorted(((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in got), key=repr) == sorted(want, key=repr)
+
+
 # 8
 
 
@@ -295,6 +408,46 @@ def test_large_unit_is_split_into_blocks(spark, monkeypatch):
     assert pairs(minmax.groups(df), "doc", "n_shingles", "component") == want
 
 
+def test_large_units_are_cut_by_key_or_block(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(2)
+    base = [f"w{i}" for i in range(40)]
+    data = []  # chains: each text differs from the one before by a word or two, and common passages tie chains together
+    for c in range(6):
+        words = [f"c{c}x{i}" for i in range(20)] + base
+        for _ in range(25):
+            data.append((rnd.randrange(10**6), " ".join(words)))
+            words[rnd.randrange(len(words))] = f"n{rnd.randrange(10**6)}"
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want = brute_groups(data)
+    for docs_, stars in ((7, 5), (1000, 256)):
+        monkeypatch.setattr(minmax, "BLOCK_DOCS", docs_)
+        monkeypatch.setattr(minmax, "STAR_DOCS", stars)
+        assert pairs(minmax.groups(df), "doc", "n_shingles", "component") == want
+
+
+def test_no_link_of_small_sets_is_missed(spark):
+    import random
+
+    rnd = random.Random(6)
+    data = []
+    for i in range(300):
+        n = rnd.randint(5, 13)
+        words = [f"v{i}x{j}" for j in range(n)]
+        data += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(words[:-1])), (3 * i + 2, " ".join([f"p{i}", *words]))]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert pairs(minmax.groups(df), "doc", "n_shingles", "component") == brute_groups(data)
+
+
+def test_rows_of_one_id_join_their_groups(spark):
+    data = [(1, prose(40, 1)), (2, prose(40, 2)), (5, prose(40, 1)), (5, prose(40, 2)), (7, prose(40, 4))]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert pairs(minmax.groups(df), "doc", "n_shingles", "component") == brute_groups(data)
+    with pytest.raises(ValueError):
+        minmax.groups(df.selectExpr("string(doc_id) as doc_id", "text"))
+
+
 def test_one_of_each_group_stays(odd):
     out = minmax.representatives(odd)
     ids = [r["doc_id"] for r in out.collect()]
@@ -320,6 +473,30 @@ def test_secret_base_spans(docs):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def brute_scan(df):
+    """All spans with every run scored by a walk over the automata's states, without arrays."""
+    model = secrets.learn(df, "text")
+    out = {}
+    for r in df.collect():
+        text = r["text"] or ""
+        base = [(s, k, e) for s, k, e, _ in secrets.base_spans(text)]
+        spans = list(base)
+        for m in re.finditer(r"[A-Za-z0-9+/_.=-]{16,}", text):
+            classes = [next(k for k, c in enumerate(secrets.CLASSES) if x in c) for x in m[0]]
+            best = -math.inf
+            for a in model.automata:
+                q, total = 0, 0.0
+                for c in classes:
+                    total += a.cost[q][c]
+                    q = a.to[q][c]
+                best = max(best, total + a.stop[q])
+            ratio = best - model.words.likelihood(m[0])
+            if ratio >= secrets.MIN_RATIO and ratio >= secrets.MIN_RATIO_CHAR * len(m[0]) and not any(s < m.end() and m.start() < e for s, _, e in base):
+                spans.append((m.start(), 3, m.end()))
+        out[r["doc_id"]] = [{"kind": secrets.KINDS[k], "start": s, "end": e} for s, k, e in sorted(spans)]
+    return out
+
+
 def test_automata_add_credentials_that_no_pattern_has(spark):
     import random
 
@@ -332,9 +509,38 @@ def test_automata_add_credentials_that_no_pattern_has(spark):
     df = spark.createDataFrame([*plain, (999, f"an ordinary sentence with {target} in it and internationalisation")], "doc_id long, text string")
     found = {r["doc_id"]: [(x["kind"], x["start"], x["end"]) for x in r["found"]] for r in secrets.scan(df, keep=["doc_id"]).collect()}
     assert found[999] == [("format", 26, 66)]
+    assert found == {d: [(x["kind"], x["start"], x["end"]) for x in r] for d, r in brute_scan(df).items()}
     assert all(len(v) == 1 and v[0][0] == "assign" for d, v in found.items() if d != 999)
 
 
+def test_held_out_credentials_and_formats(small):
+    """Recall on credentials that were not learned from, of known formats and of one left out, and false spans among ordinary runs."""
+    import random
+    import string
+
+    rnd = random.Random(7)
+    pick = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    both = string.ascii_letters + string.digits
+    formats = {
+        "base64": lambda: pick(both + "+/", 43) + "=",
+        "prefix": lambda: "sk_live_" + pick(both, 24),
+        "upper": lambda: pick("0123456789ABCDEF", 32),
+        "groups": lambda: "-".join(pick("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)),
+        "three": lambda: f"eyJ{pick(both, 33)}.eyJ{pick(both, 60)}.{pick(both + '_-', 43)}",
+        "short": lambda: pick("0123456789abcdef", 20),
+    }
+    runs = sorted({m for r in table(small.sparkSession, "/root/testdata/sf0.01", "documents").collect() for m in re.findall(r"[A-Za-z0-9+/_.=-]{8,}", r["text"] or "") if not secrets.base_spans(m)})
+    rnd.shuffle(runs)
+    ordinary, rest = runs[:4000], [r for r in runs[4000:] if len(r) >= secrets.MIN_RUN]
+    is_secret = lambda m, run: secrets.likely(m.score(run), len(run))
+    for left_out in [None, *formats]:
+        known = [f() for name, f in formats.items() if name != left_out for _ in range(60)]
+        m = secrets.Model({"assign": known}, ordinary)
+        for name, f in formats.items():
+            assert sum(is_secret(m, f()) for _ in range(100)) >= 90, (left_out, name)
+        assert len(rest) > 100 and not any(is_secret(m, r) for r in rest)
+
+
 def test_automaton_merges_compatible_states():
     a = secrets.Automaton([(0,) * n for n in (3, 4, 5, 6, 7) for _ in range(20)])
     assert len(a.states) < 8 and a.likelihood((0, 0, 0, 0)) > a.likelihood((1, 1, 1, 1))
@@ -356,3 +562,35 @@ def test_empty_tables(spark, empty, name):
         "leaks": lambda: decontam.contamination(empty, spark.createDataFrame([], "item_id long, text string")),
     }[name]
     assert run().count() == 0
+
+
+CLASH = ["n_tokens", "n_lines", "n_words", "kept", "found", "score", "lang_pred", "host", "tid", "items", "rep", "component", "c0", "k0", "__doc", "a.b"]
+
+
+@pytest.mark.parametrize("name", ["bpe", "lm", "lines", "cleaned", "quality", "accepted", "lang", "groups", "one", "secrets", "leaks", "clean"])
+def test_any_column_names(spark, odd, name):
+    more = odd.select("doc_id", "text", "lang", "source").select("*", *(F.lit(i).alias(c) for i, c in enumerate(CLASH)))
+    bench = spark.createDataFrame([(1, prose(40, 1))], "item_id long, text string")
+    run = {
+        "bpe": lambda: bpe.encode(more, queries.vocabulary()),
+        "lm": lambda: lm.score_held_out(more),
+        "lines": lambda: line_dedup.dedup(more),
+        "cleaned": lambda: line_dedup.cleaned(more),
+        "quality": lambda: quality.verdicts(more, keep=more.columns),
+        "accepted": lambda: quality.accepted(more),
+        "lang": lambda: langid.identify(more, F.lit(True), keep=more.columns),
+        "groups": lambda: minmax.groups(more),
+        "one": lambda: minmax.representatives(more),
+        "secrets": lambda: secrets.scan(more),
+        "leaks": lambda: decontam.contamination(more, bench),
+        "clean": lambda: decontam.clean(more, bench),
+    }[name]
+    out = run()
+    names = [c.lower() for c in out.columns]
+    assert len(set(names)) == len(names)
+    rows = out.collect()
+    if name in ("cleaned", "accepted", "one", "clean"):
+        assert out.columns == more.columns and all(r["a.b"] == CLASH.index("a.b") for r in rows)
+    elif name in ("bpe", "lines", "quality", "lang", "secrets"):
+        assert len(rows) == more.count() and all(r["a.b"] == CLASH.index("a.b") and r["c0"] == CLASH.index("c0") for r in rows)
+        assert sum(c.endswith("_input") for c in out.columns) >= 1
