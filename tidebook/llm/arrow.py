@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tidebook.session import ship_package
 
 #: Bytes of text, and rows, that a document function is given at once, unless one document alone has more.
-CHUNK_BYTES, CHUNK_ROWS = 2_000_000, 100_000
+CHUNK_BYTES, CHUNK_ROWS = 256_000, 1_000
 
 
 def col(name: str) -> Column:

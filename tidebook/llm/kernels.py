@@ -28,17 +28,25 @@ _INVERSE = np.ones(1, np.uint64)
 _STEP = _RANDOM.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 
+#: Powers that a worker keeps; for a longer text they are computed anew.
+_KEPT = 1 << 19
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the base and of its inverse modulo 2^64."""
+    """The first ``n`` powers of the base and of its inverse modulo 2^64, or more."""
     global _POWERS, _INVERSE
-    if len(_POWERS) < n:
-        n = max(n, 2 * len(_POWERS), 1 << 16)
-        with np.errstate(over="ignore"):
-            for name, base in (("_POWERS", _BASE), ("_INVERSE", pow(_BASE, -1, 2**64))):
-                steps = np.full(n, base, np.uint64)
-                steps[0] = 1
-                globals()[name] = np.multiply.accumulate(steps)
-    return _POWERS, _INVERSE
+    if len(_POWERS) >= n:
+        return _POWERS, _INVERSE
+    n = max(n, min(2 * n, _KEPT))
+    found = []
+    with np.errstate(over="ignore"):
+        for base in (_BASE, pow(_BASE, -1, 2**64)):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            found.append(np.multiply.accumulate(steps, out=steps))
+    if n <= _KEPT:
+        _POWERS, _INVERSE = found
+    return found[0], found[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
