@@ -225,14 +225,15 @@ def _members(rest: DataFrame, classes: DataFrame) -> DataFrame:
     least = rest.groupBy("key").agg(F.min("rep").alias("least"))
     ties = rest.join(least, "key").where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     units = connected_components(ties).select(F.col("node").alias("rep"), F.col("component").alias("unit"))
-    held = rest.join(units, "rep")
+    held = written(rest.join(units, "rep"), "held")
     by_unit = held.groupBy("unit").agg(F.count_distinct("rep").alias("n"))
     by_key = held.groupBy("unit", "key").agg(F.count("*").alias("m")).groupBy("unit").agg(F.sum(F.col("m") * F.col("m")).alias("squares"))
     cut = by_unit.join(by_key, "unit").where((F.col("n") > BLOCK_DOCS) & (F.col("squares") < F.col("n") * F.col("n"))).select("unit", F.lit(1).alias("by"))
-    chosen = held.join(cut, "unit", "left").select(F.coalesce("by", F.lit(0)).alias("by"), F.when(F.col("by") == 1, F.col("key")).otherwise(F.col("unit")).alias("unit"), "rep", "component").distinct()
+    # units may be few and large: the small tables of their sizes are broadcast, so that no task gets a unit's rows
+    chosen = held.join(join_side(cut, "cut"), "unit", "left").select(F.coalesce("by", F.lit(0)).alias("by"), F.when(F.col("by") == 1, F.col("key")).otherwise(F.col("unit")).alias("unit"), "rep", "component").distinct()
     sized = chosen.join(classes.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles")), "rep")
     sizes = sized.groupBy("by", "unit").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    return chosen.join(sizes, ["by", "unit"]).select("by", "unit", "rep", "component", "blocks")
+    return chosen.join(join_side(sizes, "sizes"), ["by", "unit"]).select("by", "unit", "rep", "component", "blocks")
 
 
 def _same_ids(some: DataFrame, classes: DataFrame) -> DataFrame:
