@@ -40,10 +40,41 @@ def test_at_or_after_ties(spark):
 def test_windows_do_not_see_later_events_of_one_microsecond(spark):
     df = spark.createDataFrame([(0, 10, 0, 1), (0, 10, 1, 2), (0, 20, 0, 3), (0, 25, 1, 4)], "symbol_id long, local_ts_us long, is_trade int, event_id long")
     for slice_us in (7, 1000):
-        got = ordered.range_features(df, BY, "local_ts_us", ordered.key2(), 10, lambda over: {"n": F.count("*").over(over(10))}, slice_us)
+        got = ordered.range_features(df, BY, "local_ts_us", ordered.key2(), 10, lambda w: {"n": w.count(F.lit(True), 10)}, slice_us)
         assert rows(got.select("event_id", "n"), "event_id") == [(1, 1), (2, 2), (3, 3), (4, 2)]
 
 
+def test_extremes_of_neighbouring_trades_equal_loops(spark):
+    """Dense and sparse tapes, with ties, runs over many stretches, trades without a side, and frames without a trade."""
+    from tidebook.operators import features
+
+    rnd = random.Random(11)
+    for step, sides in ((3, (1, -1, 0)), (40, (1, 1, 1, -1)), (400, (1, -1))):
+        t, data = 1000, []
+        for i in range(150):
+            t += rnd.choice((0, 1, step, 2 * step))
+            data.append((0, i, t, rnd.randrange(2), rnd.choice(sides), float(rnd.randint(1, 9)), 2.0))
+        df = spark.createDataFrame(data, "symbol_id long, event_id long, local_ts_us long, is_trade int, side_code int, price double, amount double").withColumn("notional", F.col("price") * F.col("amount"))
+        run_us, gap_us = 60, 150
+        make = lambda w: {"a": features.longest_run(w, run_us), "b": features.widest_gap(w, gap_us), "c": features.largest_trade(w, run_us)}  # noqa: B023, E731
+        want = {}
+        for _, e, now, tr, _, _, _ in data:
+            seen = lambda us: sorted((x for x in data if now - us <= x[2] and (x[2], x[3]) <= (now, tr) and x[3]), key=lambda x: (x[2], x[1]))  # noqa: B023, E731
+            best = run = 0.0
+            side = None
+            for x in seen(run_us):
+                run = 0.0 if x[4] == 0 else run + 2 * x[5] if x[4] == side else 2 * x[5]
+                side, best = x[4], max(best, run)
+            gaps = [b[2] - a[2] for a, b in zip(seen(gap_us), seen(gap_us)[1:], strict=False)]
+            large = max((((2 * x[5]) * abs(x[4]), -x[2], -x[1], 2 * x[5] * x[4]) for x in seen(run_us)), default=(0, 0, 0, 0.0))[3]
+            want[e] = (best, max(gaps, default=0), large)
+        for slice_us in (200, 10**6):
+            prepare = lambda laid, w: features.trade_stretches(laid, w, run_us, gap_us)  # noqa: B023, E731
+            # quotes at a trade's microsecond come before it
+            got = ordered.range_features(df, BY, "local_ts_us", ordered.key2(), gap_us, make, slice_us, prepare=prepare, carried=["next_trade"])
+            assert {r["event_id"]: (r["a"], r["b"], r["c"] + 0.0) for r in got.select("event_id", "a", "b", "c").collect()} == want
+
+
 def test_slices_change_no_result(spark):
     rnd = random.Random(2)
     data = [(i % 2, 1 + rnd.randrange(500), i, rnd.randrange(10)) for i in range(200)]

@@ -63,13 +63,13 @@ def kyle_lambda(samples: DataFrame, by: list[str], window_us: int, least: int =
     return samples.withColumn("slope", F.when(ok, slope).otherwise(none)).withColumn("r2", F.when(ok & (spread > k.EPS), r2).otherwise(none))
 
 
-def flow_windows(over, us: int, tag: str) -> dict[str, Column]:
+def flow_windows(frames: o.Frames, us: int, tag: str) -> dict[str, Column]:
     """Signed, total, bought and sold quantity, notional, count and ratio of trades in a window."""
     trade, side, qty = F.col("is_trade") == 1, F.col("side_code"), F.col("amount")
-    total = lambda x: F.coalesce(F.sum(F.when(trade, x)).over(over(us)), F.lit(0.0))
-    buy, sell = total(F.when(side > 0, qty).otherwise(0.0)), total(F.when(side < 0, qty).otherwise(0.0))
+    total = lambda x: frames.total(F.when(trade, x), us)
+    buy, sell = total(F.when(side > 0, qty)), total(F.when(side < 0, qty))
     return {
         f"buy_{tag}": buy, f"sell_{tag}": sell, f"signed_{tag}": buy - sell, f"abs_{tag}": buy + sell,
-        f"notional_{tag}": total(F.col("price_tick") * qty), f"count_{tag}": F.sum(F.when(trade, 1).otherwise(0)).over(over(us)),
+        f"notional_{tag}": total(F.col("price_tick") * qty), f"count_{tag}": frames.count(trade, us),
         f"ratio_{tag}": k.safe_divide(buy - sell, buy + sell),
     }

@@ -30,16 +30,67 @@ def with_lookback(df: DataFrame, ts: str, lookback_us: int, slice_us: int = SLIC
     return df.withColumn("__slice", F.explode(reach)).withColumn("__own", F.col("__slice") == slice_of(ts, slice_us))
 
 
-def range_features(df: DataFrame, by: list[str], ts: str, order: Column, lookback_us: int, make, slice_us: int = SLICE_US) -> DataFrame:
+class Frames:
+    """Look-back frames of a slice, as columns that cost the same whatever the frames hold.
+
+    Every frame is the difference of two that only grow: all rows up to the current one, and all rows before the frame
+    begins. Both are kept up to date row by row. A frame of ``us`` has both its ends and, at its later end, all rows of
+    the same order; ``tie`` orders these.
+    """
+
+    def __init__(self, by: list[str], tie: str):
+        self.base = Window.partitionBy(*by, "__slice").orderBy("__order")
+        self.rows = Window.partitionBy(*by, "__slice").orderBy("__order", tie)
+        self.back = Window.partitionBy(*by, "__slice").orderBy(F.desc("__order"), F.desc(tie))
+        self.key = F.struct("__order", tie)
+        self.by = by
+        self.upto = self.base.rangeBetween(Window.unboundedPreceding, 0)
+
+    def before(self, us: int):
+        return self.base.rangeBetween(Window.unboundedPreceding, -2 * us - 1)
+
+    def count(self, condition: Column, us: int) -> Column:
+        one = F.when(condition, 1).otherwise(0)
+        return F.sum(one).over(self.upto) - F.coalesce(F.sum(one).over(self.before(us)), F.lit(0))
+
+    def total(self, value: Column | str, us: int) -> Column:
+        """The sum of a frame, nulls left out: exactly 0 where it has nothing but zeros, whatever came before it."""
+        value = F.col(value) if isinstance(value, str) else value
+        value = F.coalesce(value.cast("double"), F.lit(0.0))
+        whole = F.sum(value).over(self.upto) - F.coalesce(F.sum(value).over(self.before(us)), F.lit(0.0))
+        return F.when(self.count(value != 0, us) > 0, whole).otherwise(F.lit(0.0))
+
+    def first(self, us: int) -> Column:
+        """What ``carried`` named, at the first row of a frame: the row behind the last one before it."""
+        return F.coalesce(F.max_by("__next", self.key).over(self.before(us)), F.col("__head"))
+
+    def last(self, value: Column | str) -> Column:
+        """The value at the last row of a frame."""
+        return F.max_by(value, self.key).over(self.upto)
+
+    def block(self, us: int) -> Column:
+        """Numbers stretches as long as a frame: a frame that ends in one begins in it or in the one before."""
+        return F.floor(F.col("__order") / (2 * us + 1)).cast("long")
+
+    def in_block(self, block: str, falling: bool = False):
+        """All rows of the same stretch up to the current one, or from it on."""
+        return Window.partitionBy(*self.by, "__slice", block).orderBy(F.desc("__order") if falling else "__order")
+
+
+def range_features(df: DataFrame, by: list[str], ts: str, order: Column, lookback_us: int, make, slice_us: int = SLICE_US, tie: str = "event_id", prepare=None, carried: list[str] | None = None) -> DataFrame:
     """``df`` with columns over bounded look-back frames.
 
-    ``make`` gets a function from a frame's microseconds to its window, both ends included, in the order of ``order``
-    (twice the timestamp, plus what ranks events at one timestamp), and returns the new columns by name.
+    ``make`` gets the ``Frames``, in the order of ``order`` (twice the timestamp, plus what ranks events at one timestamp),
+    and returns the new columns by name. ``prepare`` may first add columns to the laid out rows; ``carried`` names those
+    that ``Frames.first`` looks up.
     """
     laid = with_lookback(df, ts, lookback_us, slice_us).withColumn("__order", order)
-    base = Window.partitionBy(*by, "__slice").orderBy("__order")
-    columns = make(lambda us: base.rangeBetween(-2 * us, 0))
-    return laid.withColumns(columns).where("__own").drop("__slice", "__own", "__order")
+    frames = Frames(by, tie)
+    if prepare:
+        laid = prepare(laid, frames)
+    if carried:
+        laid = laid.withColumns({"__next": F.lead(F.struct(*carried)).over(frames.rows), "__head": F.first(F.struct(*carried)).over(frames.rows)})
+    return laid.withColumns(make(frames)).where("__own").drop("__slice", "__own", "__order", "__next", "__head")
 
 
 def _carried(rows: DataFrame, slices: DataFrame, by: list[str], value: Column, order: Column) -> DataFrame:

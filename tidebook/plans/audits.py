@@ -29,8 +29,8 @@ from s asof left join c p on p.symbol_id = s.symbol_id and p.local_ts_us <= s.t0
 def control_features(spark, sf_dir):
     """Depletion and replenishment of the touch over six hours, and the mid return since: operator 79."""
     q = events(spark, sf_dir).where("is_trade = 0").select("symbol_id", "event_id", "local_ts_us", k.mid_price("best_bid_tick", "best_ask_tick").cast("double").alias("mid"), *(F.array(F.col(c).cast("double")).alias(n) for c, n in (("best_bid_tick", "bid_px"), ("best_ask_tick", "ask_px"), ("bid_sz", "bid_sz"), ("ask_sz", "ask_sz"))))
-    total = lambda over, c: F.sum(c).over(over(H6))
-    got = o.range_features(f.book_changes(q), BY, "local_ts_us", 2 * F.col("local_ts_us"), H6, lambda over: {"bid_depletion": k.safe_divide(total(over, "bid_rem"), total(over, "bid_add") + total(over, "bid_rem")), "ask_replenishment": k.safe_divide(total(over, "ask_add"), total(over, "ask_add") + total(over, "ask_rem"))})
+    share = lambda w, a, b: k.safe_divide(w.total(a, H6), w.total(a, H6) + w.total(b, H6))
+    got = o.range_features(f.book_changes(q), BY, "local_ts_us", 2 * F.col("local_ts_us"), H6, lambda w: {"bid_depletion": share(w, "bid_rem", "bid_add"), "ask_replenishment": share(w, "ask_add", "ask_rem")})
     facts = q.select("symbol_id", F.col("local_ts_us").alias("p_ts"), F.col("event_id").alias("p_seq"), F.col("mid").alias("past_mid"))
     got = o.asof_join(got.withColumn("t0", F.col("local_ts_us") - H6).withColumn("t0_seq", F.lit(2**62)), facts, BY, ("t0", "t0_seq"), ("p_ts", "p_seq"), ["past_mid"])
     back = F.when(F.col("past_mid").isNull(), F.lit(0.0)).otherwise(k.bps_change("mid", "past_mid"))

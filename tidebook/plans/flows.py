@@ -78,7 +78,7 @@ def trade_flow_windows(spark, sf_dir):
     """Operators 69 and 77."""
     names = ("buy", "sell", "signed", "abs", "notional", "count", "ratio")
     ev = events(spark, sf_dir)
-    got = o.range_features(ev, BY, "local_ts_us", o.key2(), H24, lambda over: {n: c for t, u in _TAGS.items() for n, c in flows.flow_windows(over, u, t).items()})
+    got = o.range_features(ev, BY, "local_ts_us", o.key2(), H24, lambda frames: {n: c for t, u in _TAGS.items() for n, c in flows.flow_windows(frames, u, t).items()})
     return got.select("event_id", *(F.col(f"{n}_{t}") if n == "count" else r6(f"{n}_{t}", f"{n}_{t}") for t in _TAGS for n in names))
 
 
