@@ -265,3 +265,19 @@ def test_components_of_a_random_graph_and_a_long_chain(spark):
             up[max(p, q)] = min(p, q)
     got = connected_components(spark.createDataFrame(edges, "a long, b long"))
     assert rows(got, "node") == sorted((x, top(x)) for x in up)
+
+
+def test_csv_columns_go_by_each_file_s_header(spark, tmp_path):
+    from tidebook.sources import tape
+
+    (tmp_path / "a.csv").write_text("local_ts_us,price,amount\n1,10.5,2\n2,11.5,3\n")
+    (tmp_path / "b.csv").write_text("amount,local_ts_us,price\n7,3,12.5\n")
+    (tmp_path / "c.csv").write_text("local_ts_us,amount\n4,9\n")
+    got = tape.read_csv(spark, str(tmp_path), {"local_ts_us": "bigint", "price": "double", "amount": "double"})
+    assert rows(got, "local_ts_us") == [(1, 10.5, 2.0), (2, 11.5, 3.0), (3, 12.5, 7.0), (4, None, 9.0)]
+    same = spark.read.option("header", True).csv([str(tmp_path / "a.csv"), str(tmp_path / "c.csv")], schema="local_ts_us string, x string")
+    assert rows(tape.with_source_rows(same).select("local_ts_us", "source_row"), "local_ts_us") == [("1", 0), ("2", 1), ("4", 2)]
+    big = tmp_path / "big"
+    spark.range(0, 5000, 1, 3).selectExpr("id", "id * 2 as v").write.option("header", True).csv(str(big))
+    numbered = tape.with_source_rows(spark.read.option("header", True).csv(str(big)))
+    assert sorted(r["source_row"] for r in numbered.collect()) == list(range(5000))

@@ -117,17 +117,9 @@ def book_rebuilt(spark, sf_dir):
 
 
 @query("book_top_levels", f"""{L2_SQL}, iv as (select side, price_tick, amount, local_ts_us as t0, lead(local_ts_us) over (partition by side, price_tick order by local_ts_us) as t1 from l2),
-b as (select distinct local_ts_us from l2 order by 1 desc limit 50), lv as (select b.local_ts_us, side, price_tick, amount, row_number() over (partition by b.local_ts_us, side order by case side when 'bid' then -price_tick else price_tick end) as r
+b as (select distinct local_ts_us from l2), lv as (select b.local_ts_us, side, price_tick, amount, row_number() over (partition by b.local_ts_us, side order by case side when 'bid' then -price_tick else price_tick end) as r
 from b join iv on iv.t0 <= b.local_ts_us and (iv.t1 is null or b.local_ts_us < iv.t1) and iv.amount > 0) select local_ts_us, side, (r - 1)::int as level, price_tick, amount from lv where r <= 5""")
 def book_top_levels(spark, sf_dir):
-    """The five best levels a side in the last fifty batches, as its SQL has it; book_top_levels_all gives all batches."""
-    u = _stream(spark, sf_dir)
-    last = u.select("local_ts_us").distinct().orderBy(F.desc("local_ts_us")).limit(50)
-    return _levels(folds.rebuild_book(u, BY, 5).join(F.broadcast(last), "local_ts_us"))
-
-
-@query("book_top_levels_all")
-def book_top_levels_all(spark, sf_dir):
     """The five best levels a side after every batch: operator 88."""
     return _levels(folds.rebuild_book(_stream(spark, sf_dir), BY, 5))
 

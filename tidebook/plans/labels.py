@@ -144,22 +144,13 @@ def order_validation(spark, sf_dir):
 
 
 @query("interval_trades_in_window", f"""{EV_SQL},
-d as (select * from ev where is_trade = 0 and event_id % 5 = 0), t as (select * from ev where is_trade = 1)
+d as (select * from ev where is_trade = 0), t as (select * from ev where is_trade = 1)
 select d.event_id, count(t.event_id) as n_trades, {sql6("coalesce(sum(t.amount), 0)", "volume")}
 from d left join t on t.symbol_id = d.symbol_id and t.local_ts_us > d.local_ts_us + {HOUR} and t.local_ts_us <= d.local_ts_us + {H6} group by d.event_id""")
 def interval_trades_in_window(spark, sf_dir):
-    """Trades from one to six hours after every fifth quote id, as its SQL has it; interval_trades_in_window_all takes all quotes."""
-    return _trades_in_window(events(spark, sf_dir), "is_trade = 0 and event_id % 5 = 0")
-
-
-@query("interval_trades_in_window_all")
-def interval_trades_in_window_all(spark, sf_dir):
     """Trades from one to six hours after every quote: operator 44."""
-    return _trades_in_window(events(spark, sf_dir), "is_trade = 0")
-
-
-def _trades_in_window(ev, deciding: str):
-    d = ev.where(deciding).select("event_id", "symbol_id", (F.col("local_ts_us") + HOUR).alias("lo"), (F.col("local_ts_us") + H6).alias("hi"))
+    ev = events(spark, sf_dir)
+    d = ev.where("is_trade = 0").select("event_id", "symbol_id", (F.col("local_ts_us") + HOUR).alias("lo"), (F.col("local_ts_us") + H6).alias("hi"))
     t = ev.where("is_trade = 1").select("symbol_id", F.col("local_ts_us").alias("t_ts"), "amount")
     hit = o.interval_join(d, t, ["symbol_id"], "lo", "hi", "t_ts", H6).groupBy("event_id").agg(F.count("*").alias("n"), F.sum("amount").alias("v"))
     return d.select("event_id").join(hit, "event_id", "left").select("event_id", F.coalesce("n", F.lit(0)).alias("n_trades"), r6(F.coalesce("v", F.lit(0.0)), "volume"))

@@ -253,15 +253,25 @@ def grid_alignment(spark, sf_dir):
     return alignment(q, q, ["event_id"], ["local_ts_us", "symbol_id"])
 
 
-@query("feature_clusters", """with recursive e as (select distinct least(l_orderkey % 50, l_partkey % 50) as a, greatest(l_orderkey % 50, l_partkey % 50) as b from lineitem where l_quantity = 50 and l_linenumber = 1 and l_orderkey % 50 <> l_partkey % 50),
-s as (select a, b from e union select b, a from e), w(n, r) as (select a, a from s union select w.n, s.b from w join s on s.a = w.r)
-select n::bigint as node, min(r)::bigint as component from w group by n""")
+@query("feature_clusters")
 def feature_clusters(spark, sf_dir):
-    """Connected components: operator 96."""
+    """Connected components of orders and parts over all line items, nothing folded: operator 96. Tests hold it against union-find."""
+    from tidebook.operators.components import connected_components
+
+    return connected_components(table(spark, sf_dir, "lineitem").select((2 * F.col("l_orderkey")).alias("a"), (2 * F.col("l_partkey") + 1).alias("b")))
+
+
+@query("copy_clusters", """with recursive e as (select a.l_orderkey as a, b.l_orderkey as b from lineitem a join lineitem b on a.l_partkey = b.l_partkey and a.l_suppkey = b.l_suppkey and a.l_shipdate = b.l_shipdate and a.l_orderkey < b.l_orderkey),
+s as (select a, b from e union select b, a from e), w(n, r) as (select a, a from s union select w.n, s.b from w join s on s.a = w.r)
+select n as node, least(n, min(r)) as component from w group by n""")
+def copy_clusters(spark, sf_dir):
+    """Orders that ship a part of one supplier on one day, together: operator 96. A hub for each such key keeps the edges linear."""
     from tidebook.operators.components import connected_components
 
-    x = table(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_linenumber = 1")
-    return connected_components(x.select((F.col("l_orderkey") % 50).alias("a"), (F.col("l_partkey") % 50).alias("b")))
+    x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate")
+    key = ["l_partkey", "l_suppkey", "l_shipdate"]
+    least = x.groupBy(*key).agg(F.min("l_orderkey").alias("a"), F.max("l_orderkey").alias("most")).where("a < most").drop("most")
+    return connected_components(x.join(least, key).select("a", F.col("l_orderkey").alias("b")))
 
 
 @query("candidate_left_join", f"""{EV_SQL} select e.event_id, {sql6("c.amount", "c_value")}, c.event_id is not null as joined from ev e left join (select * from ev where event_id % 3 = 0) c on c.event_id = e.event_id""")

@@ -8,6 +8,7 @@ from tidebook.functions import kernels as k
 from tidebook.operators import execution as x
 from tidebook.operators import linear, simulation
 from tidebook.plans.common import H6, H24, HOUR, r6, sql6
+from tidebook.plans.metrics import thirds
 from tidebook.plans.registry import query
 from tidebook.sources.market import EV_SQL, events
 
@@ -71,32 +72,28 @@ def raw_actions(spark, sf_dir):
 
 
 @query("path_rewards", f"""{EV_SQL}, q as (select symbol_id, event_id, local_ts_us, (best_bid_tick + best_ask_tick) * 0.5::double as equity from ev where is_trade = 0), u as (select symbol_id, local_ts_us, arg_min(equity, event_id) as equity from q group by all),
-a as (select *, local_ts_us + {H6} as t1, local_ts_us + {H24} as t2 from q where event_id % 3 = 0)
+a as (select *, local_ts_us + {H6} as t1, local_ts_us + {H24} as t2 from q)
 select a.event_id, {sql6("x.equity - a.equity", "reward_6h")}, {sql6("y.equity - a.equity", "reward_24h")}
 from a asof left join u x on x.symbol_id = a.symbol_id and x.local_ts_us >= a.t1 asof left join u y on y.symbol_id = a.symbol_id and y.local_ts_us >= a.t2""")
 def path_rewards(spark, sf_dir):
-    """Changes of equity to later rows from every third quote id, as its SQL has it; path_rewards_all takes all quotes."""
-    return _path_rewards(spark, sf_dir, "event_id % 3 = 0")
-
-
-@query("path_rewards_all")
-def path_rewards_all(spark, sf_dir):
     """Changes of equity to later rows from every quote: operators 37, 146 and 147."""
-    return _path_rewards(spark, sf_dir, "true")
-
-
-def _path_rewards(spark, sf_dir, anchors: str):
     q = events(spark, sf_dir).where("is_trade = 0").select("symbol_id", "event_id", "local_ts_us", k.mid_price("best_bid_tick", "best_ask_tick").cast("double").alias("equity"))
-    got = simulation.path_rewards(q.where(anchors), q, BY, {"6h": H6, "24h": H24})
+    got = simulation.path_rewards(q, q, BY, {"6h": H6, "24h": H24})
     return got.select("event_id", r6("reward_6h", "reward_6h"), r6("reward_24h", "reward_24h"))
 
 
 @query("linear_head")
 def linear_head(spark, sf_dir):
-    """A logistic head trained and scored; tests hold its weights against a plain loop: operators 116 and 154 to 157."""
-    ev = events(spark, sf_dir).withColumn("y", (F.col("event_type") == "purchase").cast("int"))
+    """A logistic head, standardised and trained on the train third alone, that scores all rows: operators 116 and 154 to 156."""
+    ev = thirds(events(spark, sf_dir)).withColumn("y", (F.col("event_type") == "purchase").cast("int"))
     xs = ["bid_sz", "ask_sz", "best_bid_tick"]
-    mean, std = linear.standardiser(ev, xs)
-    zs = linear.standardised(xs, mean, std)
-    w, b = linear.train_head(ev, zs, "y", "event_id", "logistic", epochs=2)
-    return ev.select("event_id", "y", r6(k.sigmoid(linear.linear_score(w, b, zs)), "p"))
+    train = ev.where("role = 'train'")
+    zs = linear.standardised(xs, *linear.standardiser(train, xs))
+    w, b = linear.train_head(train, zs, "y", "event_id", "logistic")
+    return ev.select("event_id", "role", "y", r6(k.sigmoid(linear.linear_score(w, b, zs)), "p"))
+
+
+@query("linear_evaluation")
+def linear_evaluation(spark, sf_dir):
+    """Rows, positives, loss, accuracy and mean score of the head in each split, and whether it beats the base rate: operator 157."""
+    return linear.evaluated(linear_head(spark, sf_dir), "role", "y", "p")

@@ -6,11 +6,12 @@ import hashlib
 import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidebook.functions.kernels import to_tick
+from tidebook.session import written
 
 #: The names that a column may have in files, in the order in which they count.
 ALIASES = {
@@ -21,12 +22,23 @@ ALIASES = {
 
 
 def read_csv(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
-    """CSV files with a header as text columns of the given names; a column that a file lacks is null.
+    """CSV files with a header as columns of the given names and types; a column that a file lacks is null.
 
-    Columns are found by the header's names, so files may order them as they like. Types are decoded afterwards, strictly.
+    Columns are found by each file's own header, so files may order them as they like: those of one header are read
+    together. Headers are read by the driver, a line a file. Types are decoded strictly.
     """
-    found = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
-    return found.select(*((F.col(f"`{c}`") if c in found.columns else F.lit(None).cast("string")).alias(c) for c in columns)).select(*(decode(F.col(c), t).alias(c) for c, t in columns.items()))
+    plain = spark.read.option("header", True)
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for f in sorted(plain.csv(path).inputFiles()):
+        by_header.setdefault(tuple(plain.csv(f).columns), []).append(f)
+    parts = []
+    for header, files in by_header.items():
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        found = plain.option("mode", "FAILFAST").schema(schema).csv(files)
+        parts.append(found.select(*((F.col(f"`{c}`") if c in header else F.lit(None).cast("string")).alias(c) for c in columns)))
+    if not parts:
+        return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in columns])).select(*(decode(F.col(c), t).alias(c) for c, t in columns.items()))
+    return union_sources(parts).select(*(decode(F.col(c), t).alias(c) for c, t in columns.items()))
 
 
 def decode(text: Column, kind: str) -> Column:
@@ -67,8 +79,19 @@ def price_ticks(df: DataFrame, tick_size: float) -> Column:
 
 
 def with_source_rows(df: DataFrame) -> DataFrame:
-    """``df`` with a source row id: as given, else a running number in file order."""
-    return df.withColumn("source_row", F.coalesce(first_alias(df, "source_row", False).cast("long"), F.monotonically_increasing_id()))
+    """``df`` with a source row id: as given, else a contiguous number from 0 in the order of files by name and of rows in them.
+
+    ``df`` comes from files. A row's place is its file, its block there and its position in the block; blocks are counted,
+    and each starts where those before it end.
+    """
+    given = first_alias(df, "source_row", False).cast("long")
+    if not any(a in df.columns for a in ALIASES["source_row"]):
+        laid = written(df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at")), "source-rows")
+        blocks = laid.groupBy("__file", "__block").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+        before = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+        starts = blocks.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+        return laid.join(F.broadcast(starts), ["__file", "__block"]).withColumn("source_row", F.col("__start") + F.col("__at") - F.col("__first")).drop("__file", "__block", "__at", "__first", "__start")
+    return df.withColumn("source_row", given)
 
 
 def write_ordered(df: DataFrame, path: str, order: list[str], rows_per_file: int = 131_072) -> None:
