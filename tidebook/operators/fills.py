@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidebook.functions import kernels as k
 from tidebook.operators import ordered as o
+from tidebook.operators.folds import fold
 
 
 def conservative_fills(orders: DataFrame, trades: DataFrame, by: list[str], horizon_us: int, delay_us: int = 0, weight: float = 0.5, bucket_us: int | None = None) -> DataFrame:
@@ -28,19 +32,146 @@ def conservative_fills(orders: DataFrame, trades: DataFrame, by: list[str], hori
     return orders.join(first, "order_id", "left").select(*orders.columns, "f.fill_ts", "f.fill_event", "f.fill_reason")
 
 
-def adverse_labels(filled: DataFrame, mids: DataFrame, by: list[str], horizon_us: int, end_ts: str, slice_us: int = o.SLICE_US) -> DataFrame:
+def adverse_labels(filled: DataFrame, mids: DataFrame, by: list[str], horizon_us: int, end_ts: str, slice_us: int = o.SLICE_US, toxic_bps: float = 0.0, wait_us: int | None = None) -> DataFrame:
     """``filled`` with filled, latency_us, adverse_bps, toxic and cost_bps.
 
-    The mid price a horizon after the fill judges it: a bid that is filled loses what mid falls below its price. Labels are
-    null where the tape ends before; an order that isn't filled within a complete horizon costs nothing.
+    The mid price a horizon after the fill judges it: a bid that is filled loses what mid falls below its price, and no less
+    than nothing; more than ``toxic_bps`` is toxic. Labels are null where the tape ends before; an order that isn't filled
+    within a complete wait (``wait_us``, else the horizon) costs nothing.
     """
     probes = filled.withColumn("judged_at", F.col("fill_ts") + horizon_us).withColumn("judged_seq", F.lit(2**62))
     known, unknown = probes.where("fill_ts is not null"), probes.where("fill_ts is null").withColumn("future_mid", F.lit(None).cast("double"))
     facts = mids.select(*by, F.col("local_ts_us").alias("m_ts"), F.col("event_id").alias("m_seq"), "mid")
     judged = o.at_or_after(known, facts, by, ("judged_at", "judged_seq"), ("m_ts", "m_seq"), "mid", "future_mid", slice_us).unionByName(unknown)
-    loss = F.col("side_code") * (F.col("price_tick") - F.col("future_mid")) / F.col("price_tick") * 1e4
+    signed = F.col("side_code") * (F.col("price_tick") - F.col("future_mid")) / F.col("price_tick") * 1e4
+    loss = F.when(F.col("future_mid").isNotNull(), F.greatest(signed, F.lit(0.0)))
     hit = F.col("fill_ts").isNotNull()
-    done = F.col(end_ts) >= F.col("local_ts_us") + horizon_us
+    done = F.col(end_ts) >= F.col("local_ts_us") + (horizon_us if wait_us is None else wait_us)
     out = judged.withColumn("filled", F.when(hit, 1).when(done, 0)).withColumn("latency_us", F.col("fill_ts") - F.col("local_ts_us")).withColumn("adverse_bps", loss)
-    out = out.withColumn("toxic", F.when(F.col("adverse_bps").isNotNull(), (F.col("adverse_bps") > 0).cast("int")))
-    return out.withColumn("cost_bps", F.when(hit, F.greatest("adverse_bps", F.lit(0.0))).when(done, F.lit(0.0))).drop("judged_at", "judged_seq")
+    out = out.withColumn("toxic", F.when(F.col("adverse_bps").isNotNull(), (F.col("adverse_bps") > toxic_bps).cast("int")))
+    return out.withColumn("cost_bps", F.when(hit, F.col("adverse_bps")).when(done, F.lit(0.0))).drop("judged_at", "judged_seq")
+
+
+#: Labels of an order, as a column's name ends, and the columns of ``adverse_labels`` that they are.
+LABELS = {"filled": "filled", "fill_latency_us": "latency_us", "adverse_bps": "adverse_bps", "toxic_fill": "toxic", "toxic_cost_bps": "cost_bps"}
+
+
+def candidate_orders(decisions: DataFrame, by: list[str], candidates: list[str], queue, gap: int = 1) -> DataFrame:
+    """An order for each decision, candidate and side whose price is post-only; ``queue(name, side)`` gives the column of what stands ahead.
+
+    ``order_id`` numbers the orders of a decision from event_id times twice the candidates on.
+    """
+    n = 2 * len(candidates)
+    kinds = [(name, s) for name in candidates for s in (1, -1)]
+    rows = [F.struct((F.col("event_id") * n + i).alias("order_id"), F.lit(name).alias("candidate"), F.lit(s).alias("side_code"), k.candidate_tick(name, s, "best_bid_tick", "best_ask_tick", gap).cast("long").alias("price_tick"), queue(name, s).cast("double").alias("queue")) for i, (name, s) in enumerate(kinds)]
+    return decisions.select("event_id", *by, "local_ts_us", F.explode(F.array(*rows)).alias("x")).select("event_id", *by, "local_ts_us", "x.*").where("price_tick >= 1")
+
+
+def labels_by_decision(labelled: DataFrame, candidates: list[str]) -> DataFrame:
+    """One row a decision with ten labels for each candidate, named by side, candidate and label; null where there is none."""
+    pick = lambda name, s, col: F.max(F.when((F.col("candidate") == name) & (F.col("side_code") == s), F.col(col)))
+    columns = [pick(name, s, col).alias(f"{'bid' if s > 0 else 'ask'}_{name}_{label}") for name in candidates for label, col in LABELS.items() for s in (1, -1)]
+    return labelled.groupBy("event_id").agg(*columns)
+
+
+@dataclass
+class Resting:
+    """Orders that rest in a tape, each until it fills or its wait ends: both kinds of wear on the queue in front of it.
+
+    An order comes alive after all events of the microsecond at which its delay ends, with the queue of that book: the size at
+    its price if it is the touch, nothing if it improves on it, else ``unknown``. One that would take liquidity then is
+    rejected. Trades at the price wear the queue by a weight; so does size that leaves the level, less what was printed there.
+    """
+
+    wait_us: int
+    delay_us: int = 0
+    trade_weight: float = 0.5
+    shrink_weight: float = 0.5
+    unknown: float = 0.0
+    qty: float = 0.0
+    waiting: list = field(default_factory=list)
+    top: tuple | None = None
+    printed: dict = field(default_factory=dict)
+
+    def _queue(self, side: int, tick: int) -> float:
+        touch, size = (self.top[0], self.top[2]) if side > 0 else (self.top[1], self.top[3])
+        return size if tick == touch else 0.0 if (tick - touch) * side > 0 else self.unknown
+
+    def _due(self, now: int):
+        rest = []
+        for order in self.waiting:
+            if now > order["end"]:
+                yield self._row(order, None, None, None)
+            else:
+                if order["left"] is None and now > order["from"]:
+                    safe = order["tick"] < self.top[1] if order["side"] > 0 else order["tick"] > self.top[0]
+                    if not safe:
+                        yield self._row(order, None, None, "rejected")
+                        continue
+                    order["left"] = self._queue(order["side"], order["tick"])
+                rest.append(order)
+        self.waiting = rest
+
+    def _row(self, order: dict, ts, event, reason) -> dict:
+        return {"order_id": order["id"], "fill_ts": ts, "fill_event": event, "fill_reason": reason}
+
+    def _filled(self, now: int, event: int, wear):
+        rest = []
+        for order in self.waiting:
+            through = order["left"] is not None and wear(order)
+            if through or (order["left"] is not None and order["left"] < -max(self.qty, 0.0) - k.EPS):
+                yield self._row(order, now, event, "trade_through" if through else "queue_consumed")
+            else:
+                rest.append(order)
+        self.waiting = rest
+
+    def step(self, row: dict):
+        now = row["local_ts_us"]
+        if self.top:
+            yield from self._due(now)
+        if row["is_trade"]:
+            self.printed[(-row["side_code"], row["price_tick"])] = self.printed.get((-row["side_code"], row["price_tick"]), 0.0) + row["amount"]
+
+            def wear(order):
+                if order["side"] != -row["side_code"]:
+                    return False
+                if (row["price_tick"] - order["tick"]) * order["side"] < 0:
+                    return True
+                if row["price_tick"] == order["tick"]:
+                    order["left"] -= self.trade_weight * row["amount"]
+                return False
+
+            yield from self._filled(now, row["event_id"], wear)
+            return
+        top = (row["best_bid_tick"], row["best_ask_tick"], row["bid_sz"], row["ask_sz"])
+        if self.top:
+
+            def shrink(order):
+                i = 0 if order["side"] > 0 else 1
+                if order["tick"] == top[i] == self.top[i]:
+                    gone = self.top[2 + i] - top[2 + i] - self.printed.get((order["side"], order["tick"]), 0.0)
+                    order["left"] = max(0.0, order["left"] - self.shrink_weight * max(gone, 0.0))
+                return False
+
+            yield from self._filled(now, row["event_id"], shrink)
+        self.printed.clear()
+        self.top = top
+        for order in row["orders"] or ():
+            start = now + self.delay_us
+            self.waiting.append({"id": order["order_id"], "side": order["side_code"], "tick": order["price_tick"], "from": start, "end": start + self.wait_us, "left": None if self.delay_us else self._queue(order["side_code"], order["price_tick"])})
+
+    def finish(self):
+        for order in self.waiting:
+            yield self._row(order, None, None, None)
+
+
+def replayed_fills(orders: DataFrame, tape: DataFrame, by: list[str], **rule) -> DataFrame:
+    """``orders`` with the first fill of each, found by going through the tape once a symbol with all orders that rest.
+
+    Several orders may belong to a decision (event_id), the quote at which they are placed. ``rule`` is that of ``Resting``.
+    """
+    placed = orders.groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("order_id", "side_code", "price_tick"))).alias("orders"))
+    rows = tape.join(placed, "event_id", "left")
+    out = T.StructType([T.StructField("order_id", T.LongType()), T.StructField("fill_ts", T.LongType()), T.StructField("fill_event", T.LongType()), T.StructField("fill_reason", T.StringType())])
+    found = fold(rows, by, ["local_ts_us", "is_trade", "event_id"], lambda: Resting(**rule), out)
+    return orders.join(found.drop(*by), "order_id", "left")

@@ -208,9 +208,9 @@ def conservative_fills(spark, sf_dir):
 
 @query("adverse_labels", f"""{_ORDERS}, q as (select symbol_id, local_ts_us, arg_min((best_bid_tick + best_ask_tick) * 0.5::double, event_id) as mid from ev where is_trade = 0 group by all), en as (select max(local_ts_us) as end_ts from ev),
 j as (select o.*, fill_ts, q.mid as fm, end_ts from o left join ff using (order_id) cross join en asof left join q on q.symbol_id = o.symbol_id and q.local_ts_us >= fill_ts + {H6}),
-l as (select *, (price_tick - fm) / price_tick * 1e4 as adv from j)
+l as (select *, case when fm is not null then greatest((price_tick - fm) / price_tick * 1e4, 0) end as adv from j)
 select order_id, case when fill_ts is not null then 1 when end_ts >= local_ts_us + {H6} then 0 end::int as filled, fill_ts - local_ts_us as latency_us, {sql6("adv", "adverse_bps")}, case when adv is not null then (adv > 0)::int end as toxic,
-  {sql6(f"case when fill_ts is not null then case when adv is null then 0 else greatest(adv, 0) end when end_ts >= local_ts_us + {H6} then 0 end", "cost_bps")} from l""")
+  {sql6(f"case when fill_ts is not null then adv when end_ts >= local_ts_us + {H6} then 0 end", "cost_bps")} from l""")
 def adverse_labels(spark, sf_dir):
     """Operators 135 and 136."""
     end = events(spark, sf_dir).agg(F.max("local_ts_us").alias("end_ts"))

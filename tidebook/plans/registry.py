@@ -33,4 +33,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 # the modules register their queries when they are loaded
-from tidebook.plans import features, flows, labels, metrics, models, scalars, sources, streams, audits  # noqa: E402, F401, I001
+from tidebook.plans import features, flows, labels, metrics, models, scalars, sources, streams, audits, learning  # noqa: E402, F401, I001
