@@ -7,6 +7,7 @@ durable intermediate results go to the folder named by ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -45,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # local-cluster has executors of its own
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + os.path.realpath(os.path.join(tempfile.gettempdir(), "tidebook-checkpoints"))
         spark.conf.set("spark.checkpoint.dir", found)
@@ -59,16 +60,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: it cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete a table of ``written`` that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
-        if path.startswith(shared_dir(spark).split("://")[-1].rstrip("/")) or path.startswith(shared_dir(spark).rstrip("/")):
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def drop_written(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more: all that was made of them is written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def ship_package(spark: SparkSession) -> None:
