@@ -104,7 +104,8 @@ def test_forced_boundaries_cut_only_where_no_token_crosses():
 
 
 def brute_leaks(docs, items):
-    own = [(r["doc_id"], shingles(low(r["text"]))) for r in docs.select("doc_id", "text").collect()]
+    rows = docs if isinstance(docs, list) else [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    own = [(d, shingles(low(t))) for d, t in rows]
     out = []
     for i, t in items:
         k = collections.Counter(shingles(low(t)))

@@ -40,7 +40,7 @@ from tidebook.llm.arrow import col, map_rows, plain
 from tidebook.llm.kernels import Words, mix, sets
 from tidebook.llm.shared import join_side
 from tidebook.operators.components import connected_components
-from tidebook.session import ship_package, written
+from tidebook.session import drop_written, ship_package, written
 
 #: Words of a shingle, and the similarity from which two documents are linked, in hundredths.
 SHINGLE, PERCENT = 5, 75
@@ -258,8 +258,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     side = join_side(tied.select(F.col("rep").alias("chosen")).distinct(), "chosen")
     full = map_rows(ids.join(side, ids["doc"] == F.col("chosen")).select("doc", "text"), "text", ["doc"], lambda: _full_sets, [T.StructField("shingles", T.BinaryType())])
     sets_ = written(full.where(F.length("shingles") > 0).withColumnRenamed("doc", "rep"), "sets")
-    stars = tied.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    links = written(star_links(written(stars, "stars"), sets_, percent).union(_same_ids(some, classes)), "links")
+    stars = written(tied.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    links = written(star_links(stars, sets_, percent).union(_same_ids(some, classes)), "links")
     joined = connected_components(links)
     # what the smallest of a key was not: of several components still
     others = tied.where("rep <> least").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
@@ -271,6 +271,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
         dealt = sets_.join(side, "rep").select("by", "unit", "rep", "component", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "shingles")
         pieces = dealt.select("by", "unit", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rep", "block", "component", "shingles")
         joined = connected_components(links.union(confirmed(pieces, percent)))
+    drop_written(tied, sets_, stars, links, rest)  # the components are written
     named = classes.join(joined, classes["rep"] == joined["node"], "left").select(F.col("set").alias("own"), F.coalesce("component", "rep").alias("component"), "copies")
     out = described.join(named, (F.col("set") == F.col("own")) & (F.col("n_shingles") > 0) & F.col("doc").isNotNull(), "left")
     return out.select("doc", "n_shingles", F.coalesce("component", "doc").alias("component"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
