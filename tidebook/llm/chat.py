@@ -67,9 +67,9 @@ def parse(formatted: Column, loss_role: str) -> Column:
 
 
 def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_role: str = "assistant") -> DataFrame:
-    """One row for each conversation: ``conv``, ``formatted``, ``loss_spans`` and ``turns`` as parsed from ``formatted``.
+    """One row for each conversation: ``conv``, ``formatted``, and ``turns`` as parsed from ``formatted``.
 
-    ``loss_spans`` holds (start, end) in code points of ``formatted``, end excluded, around each loss turn's content.
+    ``loss_spans`` and ``loss_text`` give what lies under the loss mask. Rows without a conversation are one conversation.
     """
     r, t = F.coalesce(F.col(role).cast("string"), F.lit("")), F.coalesce(F.col(text).cast("string"), F.lit(""))
     source = rows.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), r.alias("role"), t.alias("text"))
