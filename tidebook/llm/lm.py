@@ -179,7 +179,7 @@ def train(docs: DataFrame, text: str, segments: int) -> DataFrame:
             yield finish()
 
     found = docs.select(col(text).alias("text")).mapInArrow(gather, _PARTS)
-    return written(found.repartition(-(-segments // 4), "segment").sortWithinPartitions("segment").mapInArrow(merge, _MODEL), "lm")
+    return written(found.repartition(segments, "segment").sortWithinPartitions("segment").mapInArrow(merge, _MODEL), "lm")
 
 
 class Group:
