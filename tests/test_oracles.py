@@ -22,4 +22,4 @@ def test_query_equals_its_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
-    assert registry.queries()[name](spark, SF_DIR).count() >= 0
+    assert registry.queries()[name](spark, SF_DIR).count() > 0
