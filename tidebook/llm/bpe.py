@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from tidebook.llm.arrow import map_rows
 
 #: Bytes that a worker's memos of runs and of fragments take before they start anew, and the longest run they keep.
-MEMO_RUN_BYTES, MEMO_FRAGMENT_BYTES, MEMO_LENGTH = 64_000_000, 16_000_000, 200
+MEMO_RUN_BYTES, MEMO_FRAGMENT_BYTES, MEMO_LENGTH = 130_000_000, 40_000_000, 200
 #: A longer fragment is merged with a heap.
 HEAP_LENGTH = 100
 #: Bytes that an entry of a memo takes beside the characters of its key and value.
