@@ -37,19 +37,22 @@ def forward_returns(decided: DataFrame, prices: DataFrame, delay_us: int, horizo
     """``decided`` with ``entry_mid`` and ``ret_<horizon>_bps``: 1e4 ln(exit / entry) on the mid prices in force.
 
     The entry is read at the decision's own key without a delay, else after all events of its microsecond; an exit is read
-    after all events of its. A label is null unless prices reach its exit.
+    after all events of its. A label is null unless prices reach its exit. One look-up serves the entry and all exits: each
+    decision asks at every one of its times, and its answers meet again. Rows that are alike in all columns stay as many.
     """
     facts = prices.select("symbol_id", F.col("local_ts_us").alias("f_ts"), F.col("event_id").alias("f_seq"), "mid")
-    out = decided.withColumn("entry_ts", F.col("local_ts_us") + delay_us).withColumn("entry_seq", F.lit(MAX_SEQ) if delay_us else F.col("event_id"))
-    out = o.asof_join(out, facts.withColumnRenamed("mid", "entry_mid"), ["symbol_id"], ("entry_ts", "entry_seq"), ("f_ts", "f_seq"), ["entry_mid"], slice_us)
-    last = prices.groupBy("symbol_id").agg(F.max("local_ts_us").alias("last_ts"))
-    for name, h in horizons.items():
-        out = out.withColumn("exit_ts", F.col("entry_ts") + h).withColumn("exit_seq", F.lit(MAX_SEQ))
-        out = o.asof_join(out, facts.withColumnRenamed("mid", "exit_mid"), ["symbol_id"], ("exit_ts", "exit_seq"), ("f_ts", "f_seq"), ["exit_mid"], slice_us)
-        out = out.join(last, "symbol_id").withColumn(f"ret_{name}_bps", F.when(F.col("last_ts") >= F.col("exit_ts"), k.log_return_bps("exit_mid", "entry_mid")))
-        out = out.drop("exit_ts", "exit_seq", "exit_mid", "last_ts")
-    return out
-
+    entry = F.col("local_ts_us") + delay_us
+    at = lambda which, ts, seq: F.struct(F.lit(which).alias("which"), ts.alias("ts"), seq.cast("long").alias("seq"))
+    times = [at(0, entry, F.lit(MAX_SEQ) if delay_us else F.col("event_id")), *(at(i, entry + h, F.lit(MAX_SEQ)) for i, h in enumerate(horizons.values(), 1))]
+    asked = decided.withColumn("__at", F.explode(F.array(*times))).select("*", "__at.*").drop("__at")
+    found = o.asof_join(asked, facts, ["symbol_id"], ("ts", "seq"), ("f_ts", "f_seq"), ["mid"], slice_us)
+    mid = lambda which: F.max(F.when(F.col("which") == which, F.col("mid")))  # noqa: E731  alike in all rows of a group
+    exits = [mid(i).alias(f"__exit_{n}") for i, n in enumerate(horizons, 1)]
+    met = found.groupBy(*decided.columns).agg(mid(0).alias("entry_mid"), *exits, F.count_if(F.col("which") == 0).alias("__copies"))
+    last = prices.groupBy("symbol_id").agg(F.max("local_ts_us").alias("__last"))
+    returns = [F.when(F.col("__last") >= entry + h, k.log_return_bps(f"__exit_{n}", "entry_mid")).alias(f"ret_{n}_bps") for n, h in horizons.items()]
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy")
+    return met.join(last, "symbol_id").select(*decided.columns, "entry_mid", *returns, copies).drop("__copy")
 
 
 _JOINS = " ".join(f"asof left join qq x{n} on x{n}.symbol_id = e.symbol_id and x{n}.local_ts_us <= e.t_{n}" for n in HORIZONS)
@@ -65,7 +68,8 @@ from e {_JOINS}"""
 
 @query("label_forward_returns", _LABELS_SQL)
 def label_forward_returns(spark, sf_dir):
-    out = forward_returns(decisions(spark, sf_dir), quotes(spark, sf_dir), DELAY, HORIZONS)
+    decided = decisions(spark, sf_dir).select("event_id", "symbol_id", "local_ts_us")
+    out = forward_returns(decided, quotes(spark, sf_dir), DELAY, HORIZONS)
     return out.select("event_id", "symbol_id", "local_ts_us", "entry_mid", *(r6(f"ret_{n}_bps", f"ret_{n}_bps") for n in HORIZONS))
 
 
