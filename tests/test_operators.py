@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidebook.operators import fills, flows, folds, linear, metrics, ordered, simulation, splits
 from tidebook.operators.components import connected_components
+from tidebook.plans.registry import labels
 from tidebook.sources import tape
 
 BY = ["symbol_id"]
@@ -83,6 +84,41 @@ def test_slices_change_no_result(spark):
         assert rows(f(10), "event_id") == rows(f(10**6), "event_id")
 
 
+def test_forward_returns_equal_a_loop_and_keep_copies(spark):
+    prices = [(0, t, i, 100.0 + t % 7) for i, t in enumerate([10, 10, 20, 35, 35, 60, 61, 90])] + [(1, 15, 50, 200.0)]
+    decided = [(0, 10, 0), (0, 10, 1), (0, 35, 3), (0, 35, 3), (0, 90, 7), (1, 15, 50)]
+    spark_prices = spark.createDataFrame(prices, "symbol_id long, local_ts_us long, event_id long, mid double")
+    asked = spark.createDataFrame(decided, "symbol_id long, local_ts_us long, event_id long")
+
+    def mid(s, t, seq):
+        return next((m for a, b, e, m in reversed(sorted(prices)) if a == s and (b, e) <= (t, seq)), None)
+
+    for delay in (0, 5):
+        want = []
+        for s, t, e in decided:
+            entry = mid(s, t + delay, 2**62 if delay else e)
+            last = max(b for a, b, _, _ in prices if a == s)
+            exits = [mid(s, t + delay + h, 2**62) if t + delay + h <= last else None for h in (25, 50)]
+            want.append((s, t, e, entry, *(None if x is None else round(1e4 * math.log(x / entry), 6) for x in exits)))
+        for slice_us in (7, 10**6):
+            got = labels.forward_returns(asked, spark_prices, delay, {"a": 25, "b": 50}, slice_us)
+            got = got.select("symbol_id", "local_ts_us", "event_id", "entry_mid", F.round("ret_a_bps", 6), F.round("ret_b_bps", 6))
+            assert sorted(str(tuple(r)) for r in got.collect()) == sorted(map(str, want))
+
+
+def test_ranks_and_auc_equal_loops_on_skewed_values(spark):
+    random.seed(4)
+    data = [(float(random.choice([0, 0, 0, 0, 1, 10.0 ** random.randint(-9, 9), random.random()])), random.randint(0, 1)) for _ in range(1500)]
+    df = spark.createDataFrame(data, "x double, y int")
+    values = [x for x, _ in data]
+    got = dict(map(tuple, metrics.average_ranks(df, "x", "r").collect()))
+    assert got == {v: sum(x < v for x in values) + (values.count(v) + 1) / 2 for v in set(values)}
+    positive, negative = [x for x, y in data if y], [x for x, y in data if not y]
+    area = sum((a > b) + 0.5 * (a == b) for a in positive for b in negative) / len(positive) / len(negative)
+    assert metrics.exact_auc(df, "y", "x").first()["auc"] == pytest.approx(area, abs=1e-12)
+    assert metrics.average_ranks(df.where("false"), "x", "r").count() == 0
+
+
 def test_interval_join_ends(spark):
     left = spark.createDataFrame([(0, 10, 20), (0, 20, 20)], "symbol_id long, lo long, hi long")
     right = spark.createDataFrame([(0, t) for t in (10, 11, 20, 21)], "symbol_id long, t long")

@@ -90,18 +90,31 @@ def histogram_auc(df: DataFrame, by: list[str], y: str, score: str, bins: int) -
     return part.groupBy(*by).agg(safe_divide(F.sum("area"), F.sum("pos") * F.sum("neg"), float("nan")).alias("auc"))
 
 
+def value_slices(distinct: DataFrame, value: str, slices: int = 64) -> Column:
+    """The slice of a value, in order, so that slices of the distinct values are about as large as one another, however the values lie.
+
+    The bounds, ``slices`` less one at most, come from a sketch and are constants of the plan: every task that runs again cuts alike.
+    """
+    found = distinct.agg(F.percentile_approx(value, [i / slices for i in range(1, slices)], 10_000)).first()[0]
+    bounds = list(dict.fromkeys(found or []))
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col(value))) if bounds else F.lit(0)
+
+
+def sums_below(distinct: DataFrame, value: str, amount: str, name: str) -> DataFrame:
+    """``distinct`` with the sum of ``amount`` over all smaller values: by slices, with one small row a slice broadcast."""
+    cut = distinct.withColumn("__slice", value_slices(distinct, value))
+    before = lambda w: F.coalesce(F.sum(amount).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = cut.groupBy("__slice").agg(F.sum(amount).alias(amount))
+    below = totals.select("__slice", before(Window.orderBy("__slice")).alias("__below"))  # as many rows as there are slices
+    inside = cut.withColumn("__inside", before(Window.partitionBy("__slice").orderBy(value)))
+    return inside.join(F.broadcast(below), "__slice").withColumn(name, F.col("__below") + F.col("__inside")).drop("__slice", "__below", "__inside")
+
+
 def exact_auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """Area under the ROC curve by average ranks, from one row for each distinct score."""
     ties = df.where(c(score).isNotNull()).groupBy(score).agg(F.sum(c(y)).alias("pos"), F.sum(1 - c(y)).alias("neg"))
-    slices = 256
-    span = ties.agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
-    at = F.when(F.col("hi") > F.col("lo"), F.floor((F.col(score) - F.col("lo")) / (F.col("hi") - F.col("lo")) * slices)).otherwise(F.lit(0)).cast("int")
-    cut = ties.crossJoin(F.broadcast(span)).withColumn("part", at)  # one row is broadcast
-    inside = Window.partitionBy("part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    parts = cut.groupBy("part").agg(F.sum("neg").alias("part_neg"))
-    before = parts.withColumn("below", F.coalesce(F.sum("part_neg").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "below")
-    area = cut.withColumn("in_part", F.coalesce(F.sum("neg").over(inside), F.lit(0))).join(F.broadcast(before), "part")
-    return area.agg(safe_divide(F.sum(F.col("pos") * (F.col("below") + F.col("in_part") + 0.5 * F.col("neg"))), F.sum("pos") * F.sum("neg"), float("nan")).alias("auc"))
+    area = sums_below(ties, score, "neg", "below")
+    return area.agg(safe_divide(F.sum(F.col("pos") * (F.col("below") + 0.5 * F.col("neg"))), F.sum("pos") * F.sum("neg"), float("nan")).alias("auc"))
 
 
 def calibration(df: DataFrame, y: str, p: str, bins: int) -> DataFrame:
@@ -134,8 +147,7 @@ def regression(df: DataFrame, y: str, p: str) -> DataFrame:
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     """(value, rank) with the mean rank of each distinct value, found from counts of distinct values."""
     counts = df.groupBy(value).agg(F.count("*").alias("__n"))
-    so_far = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn(name, F.sum("__n").over(so_far) - (F.col("__n") - 1) / 2).drop("__n")
+    return sums_below(counts, value, "__n", "__smaller").select(value, (F.col("__smaller") + (F.col("__n") + 1) / 2).alias(name))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
