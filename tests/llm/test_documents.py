@@ -200,6 +200,24 @@ def test_lm_base_and_model(docs):
         assert abs(exact - r["score"]) <= 0.1 * abs(exact) + 1e-6
 
 
+def test_no_worker_holds_the_model(spark, docs):
+    """A worker maps the files of its executor: the arrays own no memory, and say what a model in memory says."""
+    import numpy as np
+
+    segments = lm.segments_of(docs, "text")
+    model = lm.train(docs, "text", segments)
+    whole = lm.Group([r.asDict() for r in model.orderBy("segment").collect()], segments)
+    group = lm._handed_out(model, segments)()
+    for own in (group.words, group.counts, group.bits):
+        base = own
+        while isinstance(base, np.ndarray):
+            assert not base.flags.owndata
+            base = base.base
+    asked = np.concatenate([whole.words, whole.words + np.uint64(1)])
+    assert (group.count(asked)[1] == whole.count(asked)[1]).all() and group.count(asked)[1].any()
+    assert (group.levels(asked)[1] == whole.levels(asked)[1]).all()
+
+
 def test_levels_come_back_from_the_filter():
     import numpy as np
 

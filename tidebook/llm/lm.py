@@ -11,7 +11,8 @@ with c(h w) the mean count of its level, at most c(h). A text begins after a sta
 
 Training gathers, in every task, the distinct words and pairs with their counts and hands them on by segment, a range of
 hashes; each segment is merged by itself. Segments grow in number with the corpus, not in size. A model (filter and counts)
-of bounded size is broadcast. A larger one stays where it is: blocks of documents are written with their distinct words
+of bounded size goes to every executor as files, which its workers map: it is in no process's own memory, and the driver
+passes it on a segment at a time. A larger one stays where it is: blocks of documents are written with their distinct words
 and pairs, these go to the bucket of segments that knows them, and the answers come back to the block. That is two
 shuffles, whatever the size of the model.
 
@@ -22,11 +23,17 @@ id counts as the empty text. Repeated rows count as often as they occur. Without
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import os
+import shutil
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,8 +53,8 @@ FLUSH_TOKENS = 600_000
 SCALE, ENTRY_BITS, HASHES = 1.5, 6, 4
 #: Weight of the word distribution against that of pairs.
 MU = 100.0
-#: Bytes of the largest model that is broadcast; beyond it, bytes of model in a bucket, and of text in a block of documents.
-MOST_MODEL_BYTES = 160_000_000
+#: Bytes of the largest model that goes to all executors; beyond it, bytes of model in a bucket, and of text in a block of documents.
+MOST_MODEL_BYTES = 4_000_000_000
 BUCKET_BYTES, BLOCK_BYTES = 24_000_000, 2_000_000
 
 #: Hashes of the end token and of the start mark, which no word has.
@@ -57,6 +64,8 @@ _LEVELS = 110
 _LOW = np.ceil(SCALE ** np.arange(_LEVELS))
 #: The mean count of each level; level 0 is unseen.
 MEAN = np.concatenate([[0.0], (_LOW + np.maximum(np.ceil(SCALE ** np.arange(1, _LEVELS + 1)) - 1, _LOW)) / 2])
+#: The arrays of a model and what they hold.
+_ARRAYS = {"words": np.uint64, "counts": np.uint64, "bits": np.uint8}
 #: Entries of the segment tables: words, their counts, filter bits, and figures.
 _PARTS = T.StructType([T.StructField("segment", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("word_counts", T.BinaryType()), T.StructField("pairs", T.BinaryType()), T.StructField("pair_counts", T.BinaryType())])
 _MODEL = T.StructType([T.StructField("segment", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("bits", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("v", T.LongType()), T.StructField("bytes", T.LongType())])
@@ -183,20 +192,28 @@ def train(docs: DataFrame, text: str, segments: int) -> DataFrame:
 
 
 class Group:
-    """Some neighbouring segments of a model, as arrays: what is broadcast."""
+    """Some neighbouring segments of a model, as arrays."""
 
     def __init__(self, rows: list, segments: int):
-        self.segments, self.first, self.last = segments, rows[0]["segment"], rows[-1]["segment"]
-        counts = np.concatenate([np.frombuffer(r["counts"], np.uint64) for r in rows])
-        self.words = np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows])
-        self.counts = counts.astype(np.uint32) if not len(counts) or counts.max() < 2**32 else counts
-        self.bits = np.concatenate([np.frombuffer(r["bits"], np.uint8) for r in rows])
-        sizes = np.zeros(self.last - self.first + 1, np.int64)
+        sizes = np.zeros(rows[-1]["segment"] - rows[0]["segment"] + 1, np.int64)
         for r in rows:
-            sizes[r["segment"] - self.first] = len(r["bits"])
+            sizes[r["segment"] - rows[0]["segment"]] = len(r["bits"])
+        arrays = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in _ARRAYS.items())
+        self._hold(rows[0]["segment"], sizes, segments, *arrays)
+
+    def _hold(self, first: int, sizes: np.ndarray, segments: int, words: np.ndarray, counts: np.ndarray, bits: np.ndarray) -> None:
+        self.segments, self.first, self.last = segments, first, first + len(sizes) - 1
+        self.words, self.counts, self.bits = words, counts, bits
         self.size = sizes * 8
         self.base = (np.cumsum(sizes) - sizes) * 8
 
+    @classmethod
+    def mapped(cls, name: str, sizes: np.ndarray) -> Group:
+        """All segments, from the files that ``_handed_out`` named."""
+        group = cls.__new__(cls)
+        group._hold(0, sizes, len(sizes), *(np.asarray(np.memmap(SparkFiles.get(f"{name}.{c}"), t, "r")) for c, t in _ARRAYS.items()))
+        return group
+
     def count(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether the group's range has each hash, and its exact count."""
         s = segment_of(h, self.segments)
@@ -246,11 +263,10 @@ def score(docs: DataFrame, model: DataFrame, segments: int, doc_id: str, text: s
     n, v, size = (x or 0 for x in model.agg(F.sum("n"), F.sum("v"), F.sum("bytes")).first())
     if size > most:
         return _score_by_bucket(docs, model, segments, doc_id, text, n, v, -(-size // min(BUCKET_BYTES, most)))
-    part = [r.asDict() for r in model.orderBy("segment").toLocalIterator()]  # ``most`` bytes at most
-    shared = docs.sparkSession.sparkContext.broadcast(Group(part, segments) if part else None)
+    mapped = _handed_out(model, segments)
 
     def make():
-        group = shared.value
+        group = mapped()
 
         def work(batch: pa.RecordBatch) -> dict:
             h, p, bounds = tokens(batch.column(text))
@@ -266,6 +282,25 @@ def score(docs: DataFrame, model: DataFrame, segments: int, doc_id: str, text: s
     return map_rows(docs, text, [doc_id], make, _SCORES)
 
 
+def _handed_out(model: DataFrame, segments: int) -> Callable[[], Group | None]:
+    """Puts a model on every executor's disk, one copy each; the function returned maps it there, in a task."""
+    name, folder = f"lm-{uuid.uuid4().hex}", tempfile.mkdtemp(prefix="tidebook-")
+    atexit.register(shutil.rmtree, folder, True)  # executors may fetch the files as long as the application runs
+    paths = {c: os.path.join(folder, f"{name}.{c}") for c in _ARRAYS}
+    sizes = np.zeros(segments, np.int64)
+    with contextlib.ExitStack() as stack:
+        files = {c: stack.enter_context(open(path, "wb")) for c, path in paths.items()}
+        for r in model.orderBy("segment").toLocalIterator():
+            sizes[r["segment"]] = len(r["bits"])
+            for c, file in files.items():
+                file.write(r[c])
+    if not os.path.getsize(paths["words"]):
+        return lambda: None
+    for path in paths.values():
+        model.sparkSession.sparkContext.addFile(path)
+    return lambda: Group.mapped(name, sizes)
+
+
 def _score_by_bucket(docs: DataFrame, model: DataFrame, segments: int, doc_id: str, text: str, n: int, v: int, buckets: int) -> DataFrame:
     """``score`` with a model that isn't broadcast: questions are dealt to ``buckets`` of segments, and answers to the blocks that asked."""
     ship_package(docs.sparkSession)
