@@ -317,3 +317,12 @@ def test_csv_columns_go_by_each_file_s_header(spark, tmp_path):
     spark.range(0, 5000, 1, 3).selectExpr("id", "id * 2 as v").write.option("header", True).csv(str(big))
     numbered = tape.with_source_rows(spark.read.option("header", True).csv(str(big)))
     assert sorted(r["source_row"] for r in numbered.collect()) == list(range(5000))
+
+
+def test_fills_meet_no_pairs_of_orders_and_trades(spark):
+    """One join, of orders with their fills: a window full of trades costs what its rows cost."""
+    t = spark.createDataFrame([(0, 1, 5, -1, 100, 1.0)], "symbol_id long, event_id long, local_ts_us long, side_code int, price_tick long, amount double")
+    o = spark.createDataFrame([(1, 0, 3, 1, 102, 1.0)], "order_id long, symbol_id long, local_ts_us long, side_code int, price_tick long, queue double")
+    got = fills.conservative_fills(o, t, BY, 200)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and [tuple(r)[-3:] for r in got.collect()] == [(5, 1, "trade_through")]

@@ -144,6 +144,20 @@ def at_or_after(probes: DataFrame, facts: DataFrame, by: list[str], probe_key: t
     return tied.select(*probes.columns, F.coalesce("__exact", "__later").alias(name))
 
 
+def first_from(probes: DataFrame, facts: DataFrame, by: list[str], probe_ts: str, fact_key: tuple[str, str], value: str, name: str, slice_us: int = SLICE_US) -> DataFrame:
+    """Each probe with the first fact whose timestamp is at least the probe's, by the facts' (timestamp, sequence); null after the last."""
+    ft, fs = fact_key
+    opening = facts.groupBy(*by, F.col(ft).alias("__t")).agg(F.min_by(value, F.struct(fs, value)).alias("__v"))
+    left = probes.select(*by, F.col(probe_ts).alias("__t"), F.lit(1).alias("__kind"), F.struct("*").alias("__row"), F.lit(None).cast(opening.schema["__v"].dataType).alias("__v"))
+    right = opening.select(*by, "__t", F.lit(0).alias("__kind"), F.lit(None).cast(left.schema["__row"].dataType).alias("__row"), "__v")
+    both = left.unionByName(right).withColumn("__slice", -slice_of("__t", slice_us))
+    so_far = Window.partitionBy(*by, "__slice").orderBy(F.desc("__t"), "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("__later", F.last("__v", ignorenulls=True).over(so_far)).where("__kind = 1")
+    slices = both.select(*by, "__slice").distinct()
+    carry = _carried(right.withColumn("__slice", -slice_of("__t", slice_us)), slices, by, F.col("__v"), -F.col("__t"))
+    return inside.join(carry, [*by, "__slice"], "left").select("__row.*", F.coalesce("__later", "__before").alias(name))
+
+
 def running_sum(df: DataFrame, by: list[str], ts: str, order: list[str], value: Column, name: str, slice_us: int = SLICE_US) -> DataFrame:
     """``df`` with the sum of ``value`` up to and with each row, in the order of ``ts`` and then ``order``."""
     laid = df.withColumn("__slice", slice_of(ts, slice_us)).withColumn("__value", value)
