@@ -326,3 +326,12 @@ def test_fills_meet_no_pairs_of_orders_and_trades(spark):
     got = fills.conservative_fills(o, t, BY, 200)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and [tuple(r)[-3:] for r in got.collect()] == [(5, 1, "trade_through")]
+
+
+def test_the_first_mid_of_a_time_judges_a_fill(spark):
+    """As in the SQL; two quotes share the microsecond a horizon after the fill."""
+    m = spark.createDataFrame([(0, 1, 10, 90.0), (0, 2, 15, 99.0), (0, 3, 15, 97.0), (0, 4, 16, 95.0)], "symbol_id long, event_id long, local_ts_us long, mid double")
+    f = spark.createDataFrame([(1, 0, 3, 1, 100, 5, 50), (2, 0, 3, 1, 100, 6, 50), (3, 0, 3, 1, 100, 7, 50), (4, 0, 3, 1, 100, None, 50)], "order_id long, symbol_id long, local_ts_us long, side_code int, price_tick long, fill_ts long, end_ts long")
+    for slice_us in (4, 100):
+        got = fills.adverse_labels(f, m, BY, 10, "end_ts", slice_us)
+        assert [(r["order_id"], r["future_mid"]) for r in got.orderBy("order_id").collect()] == [(1, 99.0), (2, 95.0), (3, None), (4, None)]
