@@ -150,3 +150,15 @@ def test_contracts(spark):
         contracts.rule_report(off, "strict")
     rules = spark.sql("select 'B' as symbol, cast(0.50 as decimal(38,18)) as tick_size union all select 'A', cast(null as decimal(38,18))")
     assert contracts.rules_json(rules) == '[{"symbol":"A","tick_size":null},{"symbol":"B","tick_size":"0.5"}]'
+
+
+def test_an_event_costs_no_more_for_many_resting_orders():
+    """20,000 orders rest while 20,000 trades pass them by: that was a step for each pair."""
+    import time
+
+    machine, start, found = fills.Resting(wait_us=10**9), time.process_time(), []
+    for i in range(40_000):
+        row = {"local_ts_us": i, "event_id": i, "is_trade": int(i >= 20_000), "side_code": -1, "price_tick": 101, "amount": 1.0, "best_bid_tick": 100, "best_ask_tick": 102, "bid_sz": 3.0, "ask_sz": 3.0}
+        found += machine.step({**row, "orders": [{"order_id": i, "side_code": 1, "price_tick": 100}]})
+    found += machine.step({**row, "local_ts_us": 50_000, "price_tick": 99})
+    assert len(found) == 20_000 and {r["fill_reason"] for r in found} == {"trade_through"} and time.process_time() - start < 30
