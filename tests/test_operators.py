@@ -335,3 +335,18 @@ def test_the_first_mid_of_a_time_judges_a_fill(spark):
     for slice_us in (4, 100):
         got = fills.adverse_labels(f, m, BY, 10, "end_ts", slice_us)
         assert [(r["order_id"], r["future_mid"]) for r in got.orderBy("order_id").collect()] == [(1, 99.0), (2, 95.0), (3, None), (4, None)]
+
+
+def test_advantages_of_a_long_episode(spark):
+    """30,000 steps in one episode against a plain loop; the list that was put together step by step grew with their square."""
+    import time
+
+    n = 30_000
+    steps = spark.range(n).selectExpr("0L as episode", "id as step", "double(id % 11) as reward", "double(id % 7) as value", "double((id + 1) % 7) as next_value", "id % 5000 = 4999 as done", "double(0.9) as discount")
+    start, run, want = time.time(), 0.0, {}
+    for i in reversed(range(n)):
+        go = float(i % 5000 != 4999)
+        run = i % 11 + 0.9 * go * ((i + 1) % 7) - i % 7 + 0.9 * go * 0.95 * run
+        want[i] = run
+    got = {r["step"]: r["advantage"] for r in simulation.advantages(steps, ["episode"], "step", 0.95).collect()}
+    assert got == pytest.approx(want) and time.time() - start < 60

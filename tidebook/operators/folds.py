@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -21,7 +21,7 @@ from tidebook.operators.ordered import previous, running_sum
 from tidebook.session import ship_package
 
 
-def fold(df: DataFrame, by: list[str], order: list[str], make: Callable[[], object], out: T.StructType) -> DataFrame:
+def fold(df: DataFrame, by: list[str], order: list[str | Column], make: Callable[[], object], out: T.StructType) -> DataFrame:
     """Rows that a state machine emits over each key's rows in order.
 
     ``make()`` gives a fresh machine with ``step(row: dict) -> iterable of dicts`` and ``finish() -> iterable of dicts``;

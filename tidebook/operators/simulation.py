@@ -163,24 +163,35 @@ def discounts(dt_us, factor: float, horizon_us: float) -> Column:
     return F.pow(F.lit(factor), c(dt_us) / F.lit(float(horizon_us)))
 
 
+@dataclass
+class Backwards:
+    """Generalised advantages of an episode's steps, the last step first."""
+
+    order: str
+    gae_lambda: float
+    run: float | None = 0.0
+
+    def step(self, row: dict):
+        reward, value, discount = row["reward"], row["value"], row["discount"]
+        go = 0.0 if row["done"] else 1.0
+        known = None not in (reward, value, discount, row["next_value"], self.run)
+        self.run = reward + discount * go * row["next_value"] - value + discount * self.gae_lambda * go * self.run if known else None
+        yield {self.order: row[self.order], "advantage": self.run, "return": self.run + value if known else None}
+
+    def finish(self):
+        return ()
+
+
 def advantages(steps: DataFrame, by: list[str], order: str, gae_lambda: float) -> DataFrame:
-    """Generalised advantages and returns of each episode, scanned backwards by an array function.
+    """Generalised advantages and returns of each episode, scanned backwards by a fold; episodes run in parallel.
 
-    ``steps`` has reward, value, next_value, done and discount; an episode's steps are bounded by its length.
+    ``steps`` has reward, value, next_value, done and discount. An episode may have any length.
     """
-    one = F.struct(order, "reward", "value", "next_value", "done", "discount")
-    start = F.struct(F.lit(0.0).alias("run"), F.array().cast(f"array<struct<{order}:bigint,advantage:double,return:double>>").alias("out"))
-
-    def back(s: Column, x: Column) -> Column:
-        go = F.when(x["done"], 0.0).otherwise(1.0)
-        delta = x["reward"] + x["discount"] * go * x["next_value"] - x["value"]
-        run = delta + x["discount"] * gae_lambda * go * s["run"]
-        row = F.struct(x[order].cast("long").alias(order), run.alias("advantage"), (run + x["value"]).alias("return"))
-        return F.struct(run.alias("run"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    listed = steps.groupBy(*by).agg(F.reverse(F.sort_array(F.collect_list(one))).alias("s"))
-    scanned = listed.select(*by, F.aggregate("s", start, back)["out"].alias("o"))
-    return scanned.select(*by, F.explode("o").alias("x")).select(*by, "x.*")
+    numbers = {n: F.col(n).cast("double") for n in ("reward", "value", "next_value", "discount")}
+    rows = steps.select(*by, F.col(order).cast("long").alias(order), *(x.alias(n) for n, x in numbers.items()), "done")
+    out = T.StructType([T.StructField(order, T.LongType()), T.StructField("advantage", T.DoubleType()), T.StructField("return", T.DoubleType())])
+    back = F.struct(order, "reward", "value", "next_value", "done", "discount").desc()
+    return fold(rows, by, [back], lambda: Backwards(order, gae_lambda), out)
 
 
 def normalised(df: DataFrame, value: str, name: str, eps: float = 1e-8) -> DataFrame:
