@@ -350,3 +350,8 @@ def test_advantages_of_a_long_episode(spark):
         want[i] = run
     got = {r["step"]: r["advantage"] for r in simulation.advantages(steps, ["episode"], "step", 0.95).collect()}
     assert got == pytest.approx(want) and time.time() - start < 60
+
+
+def test_every_kth_row_of_many_partitions(spark):
+    got = [r[0] for r in metrics.strided(spark.range(0, 600_000, 1, 8).toDF("event_id"), ["event_id"], 100).collect()]
+    assert sorted(got) == list(range(0, 600_000, 6000))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions.kernels import c, safe_divide
 from tidebook.operators.ordered import SLICE_US  # noqa: F401
+from tidebook.session import written
 
 
 def moments(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -178,13 +179,16 @@ def tails(df: DataFrame, value: str, percents: list[float]) -> DataFrame:
 
 
 def strided(df: DataFrame, order: list[str], most: int) -> DataFrame:
-    """Every k-th row in order, so that at most ``most`` remain; the numbering is by slices of the order's range."""
+    """Every k-th row in order, so that at most ``most`` remain; the numbering is by slices of the order's range.
+
+    The slices are written once: bounds drawn anew in a second run would not be those that were counted.
+    """
     from pyspark.sql import types as T
 
     spark = df.sparkSession
     n = df.count()
     k = max(1, -(-n // most))
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    ranged = written(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "strided")
     numbered = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     sizes = {r["__part"]: r["n"] for r in ranged.groupBy("__part").agg(F.count("*").alias("n")).collect()}  # a row a partition
     start, starts = 0, []
