@@ -355,3 +355,18 @@ def test_advantages_of_a_long_episode(spark):
 def test_every_kth_row_of_many_partitions(spark):
     got = [r[0] for r in metrics.strided(spark.range(0, 600_000, 1, 8).toDF("event_id"), ["event_id"], 100).collect()]
     assert sorted(got) == list(range(0, 600_000, 6000))
+
+
+def test_equity_of_many_fills_is_exact(spark):
+    """Against whole numbers: a running sum of doubles was off by more than half of 1e-7 here."""
+    from tidebook.operators import execution
+
+    n = 150_000
+    f = spark.range(n).selectExpr("0L as symbol_id", "id as event_id", "int(if(id % 5 = 0, -1, 1)) as side", "(id * 7919 % 50000) / 100 as qty", "1000 + id * 17 % 41 as price")
+    got = execution.positions(f, BY, ["event_id"], "side", "qty", "price", -0.5).select("event_id", F.round(F.col("equity") * 1e7).cast("long").alias("e"))
+    got = {r["event_id"]: r["e"] for r in got.collect()}
+    held = cash = 0  # in hundredths, and in 1e-7
+    for i in range(n):
+        side, qty, price = (-1 if i % 5 == 0 else 1), i * 7919 % 50000, 1000 + i * 17 % 41
+        held, cash = held + side * qty, cash - side * qty * price * 100_000 + qty * price * 5
+        assert abs(got[i] - (cash + held * price * 100_000)) <= 64, i
