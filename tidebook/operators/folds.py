@@ -2,7 +2,7 @@
 
 Rows are dealt out by key and sorted within their partition, and a task goes through them in order, holding the state of one
 key at a time and no group's rows. So a key of any length takes the memory of its state; keys run in parallel. Where a closed
-form exists (book without crossings, volume buckets, conservative fills) the window operators are used instead.
+form exists (book without crossings, volume buckets) the window operators are used instead.
 """
 
 from __future__ import annotations
